@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, minhash, quality, simhash, urls
+from . import bpe, chat, minhash, quality, simhash, tokenfile, urls
 from .common import table
 
 #: The rules of the URL query.
@@ -57,6 +57,29 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document's ids stand, read back from Huffman-coded files."""
+    return tokenfile.read_files(tokenfile.write_files(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the bytes decoded from them."""
+    path = _tokenizer("byte_bpe_multi_50k.tiktoken")
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, offsets=False), path)
+    return out.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url; labels of bad quality mark pages by their id."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
@@ -68,6 +91,8 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_fingerprints": op3_fingerprints,
     "op5_quality": op5_quality,
+    "op8_token_files": op8_token_files,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_url_filters": op10_url_filters,
 }
 ORACLES: dict[str, str] = {
