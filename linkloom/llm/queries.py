@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, minhash, quality, simhash, tokenfile, urls
+from . import bpe, chat, decontaminate, lattice, minhash, quality, simhash, tokenfile, urls
 from .common import table
 
 #: The rules of the URL query.
@@ -63,6 +63,16 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the subword lattice model."""
+    return lattice.score(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every document's ids stand, read back from Huffman-coded files."""
     return tokenfile.read_files(tokenfile.write_files(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")))
@@ -91,6 +101,8 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_fingerprints": op3_fingerprints,
     "op5_quality": op5_quality,
+    "op6_lm_score": op6_lm_score,
+    "op7_decontaminate": op7_decontaminate,
     "op8_token_files": op8_token_files,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_url_filters": op10_url_filters,
