@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, lattice, minhash, quality, simhash, tokenfile, urls
+from . import bpe, chat, decontaminate, lattice, minhash, quality, repeats, simhash, tokenfile, urls
 from .common import table
 
 #: The rules of the URL query.
@@ -50,6 +50,11 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited(table(spark, sf_dir, "documents"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to 50-byte strings of earlier documents."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from labels that aren't held out."""
     docs = table(spark, sf_dir, "documents")
@@ -100,6 +105,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_simhash": op2_simhash,
     "op3_fingerprints": op3_fingerprints,
+    "op4_repeats": op4_repeats,
     "op5_quality": op5_quality,
     "op6_lm_score": op6_lm_score,
     "op7_decontaminate": op7_decontaminate,
