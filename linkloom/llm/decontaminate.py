@@ -162,6 +162,34 @@ def find(index: Index, texts: list[str]) -> Iterator[tuple[int, int, float, floa
         yield (d, item, *x)
 
 
+def _indexes(items: DataFrame) -> list:
+    """Broadcast indexes of at most about SHARD items each."""
+    own = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    n = max(1, -(-own.count() // SHARD))
+    out = []
+    for k in range(n):
+        rows = own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else own
+        out.append(items.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in rows.collect()])))
+    return out
+
+
+def keep(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns."""
+    at = docs.columns.index("text")
+    for index in _indexes(items):
+
+        def run(b: pa.RecordBatch, index=index) -> pa.RecordBatch:
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            clean = np.ones(len(texts), bool)
+            for a in range(0, len(texts), 500):
+                for x in find(index.value, texts[a : a + 500]):
+                    clean[a + x[0]] = False
+            return b.filter(pa.array(clean))
+
+        docs = map_batches(docs, run, docs.schema)
+    return docs
+
+
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every leak in ``docs``.
 
@@ -169,15 +197,10 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     repeated rows of ``docs`` give repeated results; other columns are ignored; an empty
     table on either side gives no rows.
     """
-    spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    shards = max(1, -(-own.count() // SHARD))
     out = None
-    for k in range(shards):
-        rows = own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k) if shards > 1 else own
-        index = spark.sparkContext.broadcast(Index([tuple(r) for r in rows.collect()]))  # about SHARD items
+    for index in _indexes(items):
 
         def run(b: pa.RecordBatch, index=index) -> pa.RecordBatch:
             own = b.column(0)

@@ -120,3 +120,13 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_batches(d, run, "doc_id long, score double, predicted int")
+
+
+def keep(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of ``docs`` that the model doesn't reject, with all their columns."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        return b.filter(pa.array(vote(sent.value, text_bytes(b.column(at))) >= THRESHOLD))
+
+    return map_batches(docs, run, docs.schema)

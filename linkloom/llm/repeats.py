@@ -376,7 +376,7 @@ def _cut(chunks: DataFrame, runs: DataFrame) -> DataFrame:
                     u = int(starts[d])
                     text = c["blob"][u : u + int(lens[d])]
                     kept = b"".join(text[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(text)]))
-                    rows.append((c["shas"][32 * d : 32 * d + 32], int(leads[d]), int((b - a).sum()), len(a), hashlib.sha256(kept).digest(), kept))
+                    rows.append((c["shas"][32 * d : 32 * d + 32], int(leads[d]), int((b - a).sum()), len(a), hashlib.sha256(kept).digest(), kept.decode("utf-8", "ignore").encode()))
         return _rows("sha lead n_removed n_spans kept left", kinds, rows)
 
     return (
@@ -394,7 +394,8 @@ def _prepared(docs: DataFrame) -> DataFrame:
 
 def cut_texts(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(sha, lead, n_removed, n_spans, kept, left) of each different text that loses bytes in
-    its first document; ``kept`` is the digest of the remaining bytes ``left``."""
+    its first document; ``kept`` is the digest of the remaining bytes, ``left`` those of them
+    that form whole characters."""
     spark = docs.sparkSession
     reps = _prepared(docs).groupBy("_sha").agg(F.min("_key").alias("lead"), F.first("_text").alias("text"))
     chunks = stage(_pack(reps.select("lead", "_sha", "text")), "chunks")
@@ -425,3 +426,22 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
         F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.lower(F.hex(F.when(copy, F.lit(NOTHING)).otherwise(F.coalesce("kept", "_sha")))).alias("kept_sha256"),
     )
+
+
+def dedupe(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated strings cut out of the texts, and n_chars brought up to date.
+
+    Cuts go by bytes; what is left of a character that is cut in two goes as well. A later
+    copy of a whole text keeps its row, with an empty text.
+    """
+    d = _prepared(docs)
+    lead = d.groupBy("_sha").agg(F.min("_key").alias("_first")).withColumnRenamed("_sha", "_s1")
+    cut = cut_texts(docs).select(F.col("sha").alias("_s2"), F.col("left").cast("string").alias("_left"))
+    j = d.join(lead.join(cut, F.col("_s1") == F.col("_s2"), "left"), F.col("_sha") == F.col("_s1"), "left")
+    copy = (F.col("_key") > F.col("_first")) & (F.octet_length("_text") >= WIDTH)
+    text = F.when(copy, F.lit("")).otherwise(F.coalesce("_left", "text"))
+    out = j.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(kind))
+    return out.select(*docs.columns)

@@ -143,3 +143,13 @@ def groups(docs: DataFrame, threshold: int = 2, width: int = 3) -> DataFrame:
         F.col("fp").alias("fp_"), F.coalesce("component", "root").alias("component_id")
     )
     return fps.join(named, fps.fp == named.fp_, "left").select("doc_id", "fp", "component_id")
+
+
+def keep(docs: DataFrame, threshold: int = 2, width: int = 5) -> DataFrame:
+    """One row of ``docs`` for each group, that of the smallest doc_id, with all its columns.
+
+    Rows with a null doc_id stay, as nothing tells them apart.
+    """
+    first = groups(docs, threshold, width).filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
