@@ -36,7 +36,7 @@ from .suffix import common_prefixes, sort_suffixes, words_at
 
 WIDTH, GRAM = 50, 24
 SPAN = WIDTH - GRAM + 1  # anchors' places within a window
-CHUNK_BYTES, GROUP_BYTES, HOT, BLOCK = 8 << 20, 4 << 20, 1000, 1 << 20
+CHUNK_BYTES, GROUP_BYTES, HOT, BLOCK = 4 << 20, 2 << 20, 1000, 1 << 19
 LOWEST = -(1 << 63)
 NOTHING = hashlib.sha256(b"").digest()
 
@@ -71,9 +71,9 @@ def _blocks(lens: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def anchors(data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window starts, their anchors' places, anchor keys) for texts that lie one after another.
+    """(first window, windows, key) of each anchor of texts that lie one after another.
 
-    Windows are those that lie within a text; all places are in ``data``.
+    Windows are those that lie within a text; the windows of an anchor follow one another.
     """
     parts = []
     offsets = np.concatenate([[0], np.cumsum(lens)])
@@ -82,26 +82,28 @@ def anchors(data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         n = hi - lo
         if n < WIDTH:
             continue
-        padded = np.concatenate([data[lo:hi], np.zeros(64, np.uint8)])
-        w = words_at(padded)
+        w = words_at(np.concatenate([data[lo:hi], np.zeros(64, np.uint8)]))
         h = _mix(w[:n], 0x9E3779B97F4A7C15) + w[8 : n + 8] * np.uint64(0xC2B2AE3D27D4EB4F)
         h = _mix(h, 0xBF58476D1CE4E5B9) + w[16 : n + 16] * np.uint64(0x165667B19E3779F9)
         h = _mix(h, 0x94D049BB133111EB) | np.uint64(1)
-        left = np.repeat(offsets[a + 1 : b + 1] - lo, lens[a:b]) - np.arange(n)  # bytes to the text's end
-        valid = left >= WIDTH
-        least = _slide(np.where(left >= GRAM, h, np.uint64(2**64 - 1)), np.minimum, 2**64 - 1)
-        low = np.where(valid, least, np.uint64(0))
+        ends = offsets[a + 1 : b + 1] - lo
+        gram, window = np.ones(n, bool), np.ones(n, bool)  # may one start here and end within the text?
+        for short, mark in ((GRAM - 1, gram), (WIDTH - 1, window)):
+            late = (ends[:, None] - np.arange(1, short + 1)).ravel()
+            mark[late[late >= 0]] = False
+        least = _slide(np.where(gram, h, np.uint64(2**64 - 1)), np.minimum, 2**64 - 1)
+        low = np.where(window, least, np.uint64(0))
         # a place is an anchor if it has the least hash of some window that holds it
         most = _slide(low[::-1], np.maximum, 0)[::-1]
-        place = np.flatnonzero((most == h) & (left >= GRAM))
-        s = np.flatnonzero(valid)
+        place = np.flatnonzero((most == h) & gram)
+        s = np.flatnonzero(window)
         at = np.searchsorted(place, s)
         wrong = np.flatnonzero(h[place[at]] != low[s])
         while len(wrong):
             at[wrong] += 1
             wrong = wrong[h[place[at[wrong]]] != low[s[wrong]]]
-        p = place[at]
-        parts.append((s + lo, p + lo, _mix(h[p], 0xD6E8FEB86659FD93)))
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+        parts.append((s[first] + lo, np.diff(np.append(first, len(s))), _mix(h[place[at[first]]], 0xD6E8FEB86659FD93)))
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(c) for c in zip(*parts))
@@ -223,7 +225,7 @@ RUN = np.dtype([("doc", "<u4"), ("a", "<u4"), ("b", "<u4")])
 def _segments(chunk: int, leads: np.ndarray, lens: np.ndarray, data: np.ndarray, bits: dict[int, tuple[bytes, bytes]], groups: int) -> list[tuple]:
     """(group, chunk, head, bytes, runs) rows of a chunk: its segments by group, and the runs
     that are repeated within the chunk itself."""
-    s, _, keys = anchors(data, lens)
+    s, n, keys = anchors(data, lens)
     ends = np.cumsum(lens)
     doc = np.searchsorted(ends, s, "right")
     k, _ = _keys(keys, doc)
@@ -237,18 +239,14 @@ def _segments(chunk: int, leads: np.ndarray, lens: np.ndarray, data: np.ndarray,
         common[own] = np.unpackbits(np.frombuffer(b, np.uint8), count=len(own))
     at = np.searchsorted(k, keys)
     keep = shared[at]
-    s, keys, doc, single = s[keep], keys[keep], doc[keep], common[at][keep]
-    if not len(s):
+    begin, n, key, d, single = s[keep], n[keep], keys[keep], doc[keep], common[at][keep]
+    if not len(begin):
         return []
-    new = np.concatenate([[True], (np.diff(s) != 1) | (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])]) | single
-    first = np.flatnonzero(new)
-    # a run of one anchor has SPAN windows at most, but equal anchors may follow one another
-    n = np.diff(np.append(first, len(s)))
-    if (n > SPAN).any():
-        cut = np.concatenate([np.arange(f, f + m, SPAN) for f, m in zip(first[n > SPAN].tolist(), n[n > SPAN].tolist())])
-        first = np.unique(np.concatenate([first, cut]))
-        n = np.diff(np.append(first, len(s)))
-    begin, d, single, key = s[first], doc[first], single[first], keys[first]
+    if single.any():  # windows of very common anchors go one by one
+        m = np.where(single, n, 1)
+        nth = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        begin, key, d, single = np.repeat(begin, m) + nth, np.repeat(key, m), np.repeat(d, m), np.repeat(single, m)
+        n = np.where(single, 1, np.repeat(n, m))
     base = ends[d] - lens[d]
     raw = data.tobytes()
     seen: dict[bytes, int] = {}
