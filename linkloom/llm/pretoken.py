@@ -11,7 +11,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 
@@ -155,27 +155,81 @@ def chunks(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
         yield who, parts
 
 
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+#: Masks for the first k bytes of a little-endian word.
+MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+SHORT = 16
+
+
 class PieceCoder:
-    """Encodes texts to ids by their pieces, remembering at most ``most`` different pieces."""
+    """Encodes texts to ids by their pieces, remembering at most about ``most`` different pieces.
+
+    Pieces of up to 16 bytes are two words and a length, looked up for all pieces of a chunk
+    at once in an open-addressing table of numpy arrays; longer ones go through a dict.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 600_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 1_000_000) -> None:
         self.encode, self.most = encode, most
+        self.bits = max(10, (2 * most).bit_length())
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.arrays = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        size = 1 << self.bits
+        self.key1, self.key2 = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+        self.value = np.full(size, -1, np.int32)  # number of the piece
+        self.long: dict[bytes, int] = {}
+        self.count = 0
+        self.lens, self.ends, self.flat = np.zeros(1024, np.int64), np.zeros(1025, np.int64), np.zeros(4096, np.uint32)
 
-    def _learn(self, new: list[str]) -> None:
-        got = self.encode(new)
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-        lens, ends, flat = self.arrays
+    def _slot(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (_mix(a, b) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        at = self._slot(a, b)
+        out = self.value[at]
+        wrong = np.flatnonzero((out >= 0) & ((self.key1[at] != a) | (self.key2[at] != b)))
+        mask, step = (1 << self.bits) - 1, 1
+        while len(wrong):
+            slot = (at[wrong] + step) & mask
+            got = self.value[slot]
+            out[wrong] = got
+            wrong = wrong[(got >= 0) & ((self.key1[slot] != a[wrong]) | (self.key2[slot] != b[wrong]))]
+            step += 1
+        return out.astype(np.int64)
+
+    def _insert(self, a: np.ndarray, b: np.ndarray, number: np.ndarray) -> None:
+        at, mask = self._slot(a, b), (1 << self.bits) - 1
+        todo = np.arange(len(a))
+        while len(todo):
+            free = todo[self.value[at[todo]] < 0]
+            _, one = np.unique(at[free], return_index=True)
+            own = free[one]
+            self.key1[at[own]], self.key2[at[own]], self.value[at[own]] = a[own], b[own], number[own]
+            todo = np.setdiff1d(todo, own, assume_unique=True)
+            taken = todo[self.value[at[todo]] >= 0]
+            at[taken] = (at[taken] + 1) & mask
+
+    def _learn(self, new: list[bytes]) -> np.ndarray:
+        """Encode pieces that aren't known and return their numbers."""
+        got = self.encode([p.decode("utf-8", "surrogatepass") for p in new])
         more = np.fromiter(map(len, got), np.int64, len(got))
-        self.arrays = (
-            np.concatenate([lens, more]),
-            np.concatenate([ends, ends[-1] + np.cumsum(more)]),
-            np.concatenate([flat, np.fromiter(chain.from_iterable(got), np.uint32, more.sum())]),
-        )
+        a, b = self.count, self.count + len(new)
+        used = int(self.ends[a])
+        need = used + int(more.sum())
+        if b > len(self.lens):
+            self.lens = np.concatenate([self.lens, np.zeros(b, np.int64)])
+            self.ends = np.concatenate([self.ends, np.zeros(b, np.int64)])
+        if need > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(need, np.uint32)])
+        self.lens[a:b] = more
+        self.ends[a + 1 : b + 1] = used + np.cumsum(more)
+        self.flat[used:need] = np.fromiter(chain.from_iterable(got), np.uint32, need - used)
+        self.count = b
+        return np.arange(a, b)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -183,32 +237,63 @@ class PieceCoder:
         for who, segs in chunks(texts):
             joined = "\n".join([*segs, ""])
             cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+            raw = joined.encode("utf-8", "surrogatepass")
+            data = np.frombuffer(raw + bytes(24), np.uint8)
             lens = np.fromiter(map(len, segs), np.int64, len(segs))
             ends = np.cumsum(lens + 1) - 1
             starts = boundaries(cps, ends)
-            bounds = starts.tolist()
-            bounds.append(len(joined))
-            pieces = [joined[a:b] for a, b in zip(bounds, bounds[1:])]
             filler = np.searchsorted(starts, ends)  # where the fillers are
-            if len(self.index) > self.most:
+            if len(raw) != len(cps):
+                starts = np.flatnonzero((data[: len(raw)] & 0xC0) != 0x80)[starts]
+            if self.count > self.most:
                 self.forget()
-            get = self.index.get
-            idx = np.fromiter(map(get, pieces, repeat(-1)), np.int64, len(pieces))
-            idx[filler] = -2
-            unknown = np.flatnonzero(idx == -1).tolist()
-            if unknown:
-                self._learn(list(dict.fromkeys(pieces[i] for i in unknown)))
-                get = self.index.get
-                idx[unknown] = [get(pieces[i]) for i in unknown]
-            plen, poff, flat = self.arrays
-            real = idx >= 0
-            n = np.where(real, plen[np.where(real, idx, 0)], 0) if len(plen) else np.zeros(len(idx), np.int64)
+            idx = self._numbers(raw, data, starts, filler)
+            n = np.where(idx >= 0, self.lens[idx], 0)
             total = np.concatenate([[0], np.cumsum(n)])
-            src = np.repeat(np.where(real, poff[np.where(real, idx, 0)], 0) - total[:-1], n) + np.arange(total[-1])
-            ids = flat[src]
+            src = np.repeat(self.ends[idx] - total[:-1], n)
+            src += np.arange(total[-1])
+            ids = self.flat[src]
             a = 0
-            for i, f in zip(who, filler.tolist()):
-                b = total[f]
+            for i, b in zip(who, total[filler].tolist()):
                 parts[i].append(ids[a:b])
                 a = b
         return [p[0] if len(p) == 1 else np.concatenate(p) for p in parts]
+
+    def _numbers(self, raw: bytes, data: np.ndarray, starts: np.ndarray, filler: np.ndarray) -> np.ndarray:
+        """The number of each piece; -1 for fillers."""
+        size = np.diff(np.append(starts, len(raw)))
+        w = np.ndarray((len(data) - 7,), "<u8", buffer=data, strides=(1,))
+        a = w[starts] & MASKS[np.minimum(size, 8)]
+        rest = np.clip(size - 8, 0, 8)
+        b = w[starts + 8] & MASKS[rest]
+        zero = np.flatnonzero(data[starts + np.maximum(size, 1) - 1] == 0)
+        size[zero] += SHORT  # words don't tell "x" from "x" and a zero byte: those go through the dict
+        idx = self._find(a, b)
+        far = size > SHORT
+        size[zero] -= SHORT
+        far[filler] = False
+        idx[filler] = -1
+        for i in np.flatnonzero(far).tolist():
+            idx[i] = self.long.get(raw[starts[i] : starts[i] + size[i]], -2)
+        idx[filler] = 0
+        unknown = np.flatnonzero(idx < 0)
+        if len(unknown):
+            near = unknown[~far[unknown]]
+            pairs = np.stack([a[near], b[near]], 1)
+            order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+            s = pairs[order]
+            fresh = np.concatenate([[True], (s[1:] != s[:-1]).any(1)]) if len(s) else np.zeros(0, bool)
+            one = near[order[fresh]]
+            if len(one):
+                new = [raw[u : u + v] for u, v in zip(starts[one].tolist(), size[one].tolist())]
+                number = self._learn(new)
+                self._insert(a[one], b[one], number)
+                idx[near[order]] = number[np.cumsum(fresh) - 1]
+            wide = unknown[far[unknown]].tolist()
+            if wide:
+                new = list(dict.fromkeys(raw[starts[i] : starts[i] + size[i]] for i in wide))
+                self.long.update(zip(new, self._learn(new).tolist()))
+                for i in wide:
+                    idx[i] = self.long[raw[starts[i] : starts[i] + size[i]]]
+        idx[filler] = -1
+        return idx

@@ -178,8 +178,10 @@ def encode_ordered(docs: DataFrame, path: str) -> DataFrame:
         size = 0
 
         def row() -> pa.RecordBatch:
-            ids = np.concatenate(held).astype("<u4")
-            seen, times = np.unique(ids, return_counts=True)
+            ids = np.concatenate(held)
+            times = np.bincount(ids)
+            seen = np.flatnonzero(times)
+            times, ids = times[seen], ids.astype("<u2" if seen[-1] < 1 << 16 else "<u4")
             sizes = np.array([len(x) for x in held], "<u8")
             one = [part, seq, base, len(ids), keys, sizes.tobytes(), ids.tobytes(), seen.astype(np.int32), times]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
@@ -224,10 +226,11 @@ def write_files(docs: DataFrame, path: str) -> DataFrame:
             for i in range(b.num_rows):
                 r = b.slice(i, 1)
                 keys, sizes, ids = (r.column(c)[0].as_py() for c in (4, 5, 6))
-                image = write_file(np.frombuffer(ids, "<u4"), keys, np.frombuffer(sizes, "<u8"), *sent.value)
+                n = np.frombuffer(sizes, "<u8")
+                image = write_file(np.frombuffer(ids, f"<u{len(ids) // int(n.sum())}"), keys, n, *sent.value)
                 yield pa.RecordBatch.from_arrays([*r.columns[:4], pa.array([image], pa.binary())], ["part", "seq", "base", "n", "file"])
 
-    return stage(coded.mapInArrow(run, "part int, seq int, base long, n long, file binary"), "tokens")
+    return stage(coded.mapInArrow(run, "part int, seq int, base long, n long, file binary"), "tokens", "uncompressed")
 
 
 def read_files(files: DataFrame) -> DataFrame:
