@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Arrow batches stay small, so that Python workers need little memory whatever a row's size.
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
 
 
 def ship(spark: SparkSession) -> None:
@@ -23,4 +30,40 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, n)
                     z.write(full, os.path.join("linkloom", os.path.relpath(full, top)))
     sc.addPyFile(path)
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
     sc._linkloom_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where the session has none (tests on one machine) a local one is made and set.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = f"file://{tempfile.mkdtemp(prefix='linkloom-shared-')}"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    This cuts lineage: what follows survives lost executors by re-reading the files.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path, compression=codec)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._linkloom_path = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    path = getattr(df, "_linkloom_path", None)
+    if path:
+        jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
