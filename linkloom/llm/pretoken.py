@@ -24,7 +24,7 @@ IN_L, IN_N, IN_O, A_SP, A_WS, C2, C1, DONE = range(8)
 #: White space of Unicode.
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 STEP = 64
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 
 
 @cache
@@ -172,7 +172,7 @@ class PieceCoder:
     at once in an open-addressing table of numpy arrays; longer ones go through a dict.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 1_000_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 500_000) -> None:
         self.encode, self.most = encode, most
         self.bits = max(10, (2 * most).bit_length())
         self.forget()
