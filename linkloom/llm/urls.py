@@ -6,7 +6,8 @@ form and become ``{n}``, ``{h}`` or ``{n}.suffix``. From the root down, a parent
 that still has more than ``FANOUT`` children turns them into ``*``; among fewer children,
 those whose share of bad labels doesn't differ significantly from their siblings' pooled share
 are merged into ``*`` too. A template is rejected when its share of bad labels, smoothed
-towards the share of the whole table, reaches ``REJECT``.
+towards the share of the whole table (at most REJECT - 0.2, so that a template without labels
+is allowed), reaches ``REJECT``.
 """
 
 from __future__ import annotations
@@ -106,7 +107,7 @@ def templates(pages: DataFrame) -> DataFrame:
     judged = sums.crossJoin(F.broadcast(base)).select(  # one row
         F.col("host").alias("h_"),
         F.col("prefix").alias("p_"),
-        F.when((F.col("bad") + PRIOR * F.coalesce("base", F.lit(0.0))) / (F.col("lab") + PRIOR) >= REJECT, F.lit("block"))
+        F.when((F.col("bad") + PRIOR * F.least(F.coalesce("base", F.lit(0.0)), F.lit(REJECT - 0.2))) / (F.col("lab") + PRIOR) >= REJECT, F.lit("block"))
         .otherwise(F.lit("allow"))
         .alias("judged"),
     )
