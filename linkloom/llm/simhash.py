@@ -145,7 +145,7 @@ def groups(docs: DataFrame, threshold: int = 2, width: int = 3) -> DataFrame:
     return fps.join(named, fps.fp == named.fp_, "left").select("doc_id", "fp", "component_id")
 
 
-def keep(docs: DataFrame, threshold: int = 2, width: int = 5) -> DataFrame:
+def keep(docs: DataFrame, threshold: int = 2, width: int = 3) -> DataFrame:
     """One row of ``docs`` for each group, that of the smallest doc_id, with all its columns.
 
     Rows with a null doc_id stay, as nothing tells them apart.
