@@ -33,7 +33,9 @@ def join_records(pairs: DataFrame, entities: DataFrame) -> DataFrame:
     side = lambda p: e.select(
         F.col("entity_id").alias(p), *(field(e.columns, k).alias(f"{p}_{k}") for k in ("name", "address", "zip"))
     )
-    return pairs.join(side("s1"), "s1").join(side("cand"), "cand")
+    # the join on s1 needs this partitioning anyway; a set number keeps the string work spread out
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(n, "s1").join(side("s1"), "s1").join(side("cand"), "cand")
 
 
 def with_features(joined: DataFrame) -> DataFrame:
