@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from linkloom.session import ship
 
-from .common import map_batches, stage, text_bytes
+from .common import gathered, stage, text_bytes
 from .quality import held_out
 
 MARK, LONG, ROWS = "▁", 96, 4096
 CHUNK_TOKENS = 3_000_000
+#: Words handled at once: enough of each length for whole-array work.
+WORDS = 20_000
 #: Weight of the prior in expected pieces; its ranks are flattened by this offset.
 PRIOR, FLAT = 3200.0, 10.0
 NONE = -1e300
@@ -263,7 +265,7 @@ def score(docs: DataFrame, path: str, rest: int = 1) -> DataFrame:
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, prior = vocabulary(path)
         logp, total = _log(prior), np.zeros(lattice.size)
-        for b in batches:
+        for b in gathered(batches, WORDS):
             total += lattice.expected(b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float64), logp)
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["piece", "n"])
@@ -278,14 +280,18 @@ def score(docs: DataFrame, path: str, rest: int = 1) -> DataFrame:
     discount = min(0.95, max(0.05, t["n1"] / max(1, t["n1"] + 2 * t["n2"])))
     mass = max(discount * t["v"] / max(1, n_train), 1e-9)
 
-    def likelihood(b: pa.RecordBatch) -> pa.RecordBatch:
+    def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in gathered(batches, WORDS):
+            yield known_words(b)
+
+    def known_words(b: pa.RecordBatch) -> pa.RecordBatch:
         pieces = vocabulary(path)[0].forward(b.column(0).to_pylist(), sent.value) + math.log(mass)
         c = b.column(1).to_numpy()
         whole = np.where(c > 0, np.log(np.maximum(c - discount, 1e-9) / max(1, n_train)), NONE)
         lp = np.logaddexp(pieces, whole) / math.log(10)
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lp)], ["word", "c", "lp"])
 
-    known = map_batches(counted, likelihood, "word string, c long, lp double")
+    known = counted.mapInArrow(likelihood, "word string, c long, lp double")
     back = zipped.select("chunk", "place", F.col("x.words").alias("word")).join(known, "word").select(
         F.col("chunk").alias("of"), "place", "c", "lp"
     )

@@ -162,7 +162,7 @@ def coder(path: str) -> PieceCoder:
     def encode(pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    return PieceCoder(encode)
+    return PieceCoder(encode, most=1_000_000)
 
 
 def encode_ordered(docs: DataFrame, path: str) -> DataFrame:
@@ -189,8 +189,8 @@ def encode_ordered(docs: DataFrame, path: str) -> DataFrame:
 
         for b in batches:
             texts, own = [t or "" for t in b.column(1).to_pylist()], b.column(0).to_pylist()
-            for at in range(0, len(texts), 256):
-                for k, ids in zip(own[at : at + 256], coder(path)(texts[at : at + 256])):
+            for at in range(0, len(texts), 1024):
+                for k, ids in zip(own[at : at + 1024], coder(path)(texts[at : at + 1024])):
                     keys.append(k)
                     held.append(np.append(ids, np.uint32(END_ID)))
                     size += len(ids) + 1
