@@ -10,6 +10,13 @@ missed, and the 2^24 anchor pairs keep the comparisons of unlike texts few.
 Only distinct fingerprints are dealt to anchors, so exact copies cost one row each, whatever
 the group's size; links between distinct fingerprints of a group are bounded by the 2,080
 neighbours that a fingerprint can have at two bits.
+
+``keep``, the filter of a pipeline, also catches texts whose five-word shingles are alike at
+0.8 or more. Shingle fingerprints of such texts differ by eight bits on average, too many for
+a covering, but one changed word changes only one member of the set of words. So ``BANKS``
+independent 46-bit fingerprints of that set go to the anchors, at one bit, and every pair they
+bring is judged by its shingles. Texts of one fingerprint meet the least and the greatest of
+them, not each other, so pairs stay linear in the texts.
 """
 
 from __future__ import annotations
@@ -27,6 +34,8 @@ from .common import map_batches, stage, text_bytes
 from .components import connected_components
 
 RADIUS, BLOCK, CHECKS = 3, 23, 11
+#: Fingerprints of the set of words, and least shingle hashes by which a pair is judged.
+BANKS, SKETCH = 16, 256
 #: Fixed value: generator polynomial of the binary Golay code, x^11+x^9+x^7+x^6+x^5+x+1.
 GOLAY = 0b101011100011
 
@@ -100,14 +109,20 @@ def anchors(fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.
     return rows, anchor, (i == 0) & (j == 0)
 
 
-def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
-    """(a, b): pairs of distinct fingerprints, a below b, at ``threshold`` bits or fewer."""
+def links(fps: DataFrame, threshold: int = 2, tagged: bool = False) -> DataFrame:
+    """(a, b): pairs of distinct fingerprints, a below b, at ``threshold`` bits or fewer.
+
+    Where they are ``tagged``, the bits above the two blocks name a bank, and only
+    fingerprints of one bank meet.
+    """
 
     def deal(b: pa.RecordBatch) -> pa.RecordBatch:
         fp = b.column(0).to_numpy()
         out: list[tuple[np.ndarray, ...]] = []
         for at in range(0, len(fp), 2000):
             rows, anchor, home = anchors(fp[at : at + 2000], threshold)
+            if tagged:
+                anchor |= fp[at : at + 2000][rows] >> (2 * BLOCK) << (2 * BLOCK)
             out.append((fp[at : at + 2000][rows], anchor, home))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["fp", "anchor", "home"])
 
@@ -145,11 +160,124 @@ def groups(docs: DataFrame, threshold: int = 2, width: int = 3) -> DataFrame:
     return fps.join(named, fps.fp == named.fp_, "left").select("doc_id", "fp", "component_id")
 
 
-def keep(docs: DataFrame, threshold: int = 2, width: int = 3) -> DataFrame:
+def mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    """64-bit words scrambled; different salts give independent words."""
+    x = (x + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def word_banks(words: np.ndarray) -> np.ndarray:
+    """``BANKS`` tagged fingerprints of a set of word hashes; none of no words."""
+    words = np.unique(words)
+    if not len(words):
+        return np.zeros(0, np.int64)
+    ones = np.zeros(BANKS * 48, np.int64)
+    for at in range(0, len(words), 1 << 12):
+        part = words[at : at + (1 << 12)]
+        bits = np.stack([mixed(part, 2 * i + 1) for i in range(BANKS * 3 // 4)], axis=1)
+        ones += np.unpackbits(bits.view(np.uint8), axis=1).sum(0, dtype=np.int32)
+    packed = np.packbits((2 * ones > len(words)).reshape(BANKS, 48)[:, : 2 * BLOCK], axis=1, bitorder="little")
+    fp = np.zeros((BANKS, 8), np.uint8)
+    fp[:, : packed.shape[1]] = packed
+    return fp.view(np.int64).ravel() | (np.arange(BANKS) << (2 * BLOCK))
+
+
+def sketch(words: np.ndarray, width: int) -> np.ndarray:
+    """The ``SKETCH`` least different hashes of shingles of ``width`` words: all, if no more."""
+    if not len(words):
+        return np.zeros(0, np.uint32)
+    width = min(width, len(words))
+    n = len(words) - width + 1
+    h = np.zeros(n, np.uint64)
+    for i in range(width):
+        h = mixed(h ^ words[i : i + n], 2 * i + 1)
+    return np.unique((h >> np.uint64(32)).astype(np.uint32))[:SKETCH]
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity by two sketches: exact if they hold all, else from the least of the union."""
+    both = np.union1d(a, b)
+    if max(len(a), len(b)) >= SKETCH:
+        both = both[:SKETCH]
+    if not len(both):
+        return 1.0
+    same = np.intersect1d(a, b, assume_unique=True)
+    return int((same <= both[-1]).sum()) / len(both)
+
+
+def traits(docs: DataFrame, width: int, shingle: int) -> DataFrame:
+    """(doc_id, fp, text_key, banks, sketch) of each row; arrays are packed as binary."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        fps, keys, banks, kept = [], [], [], []
+        for x in text_bytes(b.column(1)):
+            w = x.lower().split()
+            h = np.array([xxhash.xxh64_intdigest(t, 7) for t in w], np.uint64)
+            fps.append(fingerprint(x, width))
+            keys.append(xxhash.xxh3_128_digest(b" ".join(w)))
+            banks.append(word_banks(h).tobytes())
+            kept.append(sketch(h, shingle).tobytes())
+        cols = [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), *(pa.array(c, pa.binary()) for c in (keys, banks, kept))]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "text_key", "banks", "sketch"])
+
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_batches(d, run, "doc_id long, fp long, text_key binary, banks binary, sketch binary")
+
+
+def _unpacked(nodes: DataFrame) -> DataFrame:
+    """(root, tag): one row for each bank of each text."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        tags = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+        root = np.repeat(b.column(0).to_numpy(), [len(t) for t in tags])
+        return pa.RecordBatch.from_arrays([pa.array(root), pa.array(np.concatenate(tags))], ["root", "tag"])
+
+    return map_batches(nodes.select("root", "banks"), run, "root long, tag long")
+
+
+def alike(nodes: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """(a, b): texts of ``nodes`` (root, banks) that the banks bring together and whose
+    ``sketches`` (doc_id, sketch) are alike at ``least`` or more."""
+    tags = stage(_unpacked(nodes), "tags")
+    ends = [F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")]
+    buckets = stage(tags.groupBy("tag").agg(*ends), "buckets")
+    many = buckets.filter("n > 1").select("tag", "low", "high")
+    inner = tags.join(many, "tag").select("root", F.explode(F.array("low", "high")).alias("other"))
+    near = links(buckets.select(F.col("tag").alias("fp")), 1, tagged=True)
+    at = lambda k: buckets.select(F.col("tag").alias(k), F.array("low", "high").alias(f"{k}s"))
+    across = near.join(at("a"), "a").join(at("b"), "b").select(F.explode(F.arrays_zip("as", "bs")).alias("p"))
+    pairs = inner.union(across.select("p.as", "p.bs")).filter("root <> other")
+    pairs = stage(pairs.select(F.least("root", "other").alias("a"), F.greatest("root", "other").alias("b")).distinct(), "pairs")
+    side = lambda k: sketches.select(F.col("doc_id").alias(k), F.col("sketch").alias(f"s{k}"))
+
+    def judge(b: pa.RecordBatch) -> pa.RecordBatch:
+        x, y = (b.column(i).to_pylist() for i in (2, 3))
+        ok = [likeness(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)) >= least for p, q in zip(x, y)]
+        return b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    seen = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
+    return map_batches(seen, judge, "a long, b long")
+
+
+def keep(docs: DataFrame, threshold: int = 2, width: int = 3, least: float = 0.8, shingle: int = 5) -> DataFrame:
     """One row of ``docs`` for each group, that of the smallest doc_id, with all its columns.
 
-    Rows with a null doc_id stay, as nothing tells them apart.
+    Links are those of ``groups`` and, beside them, texts alike at ``least`` or more by their
+    shingles of ``shingle`` words. Rows with a null doc_id stay, as nothing tells them apart;
+    of rows that share a doc_id one stays; null and blank texts are one group; an empty table
+    gives no rows.
     """
-    first = groups(docs, threshold, width).filter("doc_id = component_id").select("doc_id").distinct()
+    own = stage(traits(docs.filter("doc_id is not null"), width, shingle), "traits")
+    nodes = own.groupBy("text_key").agg(F.min("doc_id").alias("root"), F.min("fp").alias("fp"), F.min("banks").alias("banks"))
+    nodes = stage(nodes, "texts")
+    prints = stage(nodes.groupBy("fp").agg(F.min("root").alias("low"), F.count("*").alias("n")), "prints")
+    at = lambda k: prints.select(F.col("fp").alias(k), F.col("low").alias(f"r{k}"))
+    close = links(prints, threshold).join(at("a"), "a").join(at("b"), "b").select("ra", "rb")
+    same = nodes.join(prints.filter("n > 1").select("fp", "low"), "fp").select("root", "low")
+    sketches = own.join(nodes.select("root"), F.col("doc_id") == F.col("root"), "left_semi").select("doc_id", "sketch").dropDuplicates(["doc_id"])
+    found = close.union(same).union(alike(nodes, sketches, least)).toDF("a", "b")
+    gone = connected_components(found).filter("node <> component").select(F.col("node").alias("root"))
+    first = nodes.select("root").join(gone, "root", "left_anti").select(F.col("root").alias("doc_id")).distinct()
     named = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

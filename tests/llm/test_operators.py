@@ -106,6 +106,41 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
 
+def test_near_duplicate_filter(spark):
+    r = random.Random(9)
+    base = [t for t in prose(80, 7, 400) if len(t.split()) > 120]
+    rows, twins = list(enumerate(base)), []
+    for i, t in enumerate(base):
+        w = t.split()
+        for k in range(3):
+            v = list(w)
+            for at in r.sample(range(len(v)), len(v) // 60):
+                v[at] = f"new{r.randrange(1000)}"
+            rows.append((1000 + 10 * i + k, " ".join(v)))
+            assert len(shingles(t) & shingles(rows[-1][1])) / len(shingles(t) | shingles(rows[-1][1])) >= 0.8
+            twins.append(rows[-1][0])
+    other = " ".join(sorted(base[0].split()))  # the same words in another order
+    rows += [(5000, other), (5001, ""), (5002, None), (5003, " \t"), (5004, base[1]), (5004, base[1]), (None, base[2])]
+    got = simhash.keep(docs(spark, rows)).collect()
+    ids = [x["doc_id"] for x in got]
+    assert len(ids) == len(set(ids)) and set(got[0].asDict()) == set(SCHEMA.replace(" long", "").replace(" string", "").split(", "))
+    assert set(range(len(base))) | {5000, 5001, None} <= set(ids)
+    assert not set(ids) & {5002, 5003, 5004} and len(set(ids) & set(twins)) <= 0.02 * len(twins)
+    assert simhash.keep(docs(spark, [])).count() == 0
+
+
+def test_likeness_of_sketches():
+    r = np.random.default_rng(3)
+    for size in (40, 200, 4000):
+        a = r.integers(0, 1 << 60, size, dtype=np.uint64)
+        b = a.copy()
+        b[:: size // 20] = r.integers(0, 1 << 60, len(b[:: size // 20]), dtype=np.uint64)
+        x, y = ({tuple(w[i : i + 5].tolist()) for i in range(size - 4)} for w in (a, b))
+        want = len(x & y) / len(x | y)
+        got = simhash.likeness(simhash.sketch(a, 5), simhash.sketch(b, 5))
+        assert abs(got - want) < (1e-9 if len(x | y) < simhash.SKETCH else 0.1)
+
+
 def test_minhash(spark):
     base = prose(40, 1, 200)
     rows = [(2 * i, t) for i, t in enumerate(base)] + [(900, None), (901, ""), (902, "é b"), (902, "é b"), (None, "first one here")]
