@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stage, text_bytes
+from .common import map_batches, stage, text_bytes, unstage
 from .components import connected_components
 
 RADIUS, BLOCK, CHECKS = 3, 23, 11
@@ -257,7 +257,10 @@ def alike(nodes: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
         return b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     seen = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
-    return map_batches(seen, judge, "a long, b long")
+    found = stage(map_batches(seen, judge, "a long, b long"), "alike")
+    for done in (tags, buckets, pairs):
+        unstage(done)
+    return found
 
 
 def keep(docs: DataFrame, threshold: int = 2, width: int = 3, least: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -276,8 +279,11 @@ def keep(docs: DataFrame, threshold: int = 2, width: int = 3, least: float = 0.8
     close = links(prints, threshold).join(at("a"), "a").join(at("b"), "b").select("ra", "rb")
     same = nodes.join(prints.filter("n > 1").select("fp", "low"), "fp").select("root", "low")
     sketches = own.join(nodes.select("root"), F.col("doc_id") == F.col("root"), "left_semi").select("doc_id", "sketch").dropDuplicates(["doc_id"])
-    found = close.union(same).union(alike(nodes, sketches, least)).toDF("a", "b")
+    near = alike(nodes, sketches, least)
+    found = close.union(same).union(near).toDF("a", "b")
     gone = connected_components(found).filter("node <> component").select(F.col("node").alias("root"))
-    first = nodes.select("root").join(gone, "root", "left_anti").select(F.col("root").alias("doc_id")).distinct()
+    first = stage(nodes.select("root").join(gone, "root", "left_anti").select(F.col("root").alias("doc_id")).distinct(), "first")
+    for done in (own, nodes, prints, near):
+        unstage(done)
     named = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
