@@ -12,30 +12,38 @@ the group's size; links between distinct fingerprints of a group are bounded by
 neighbours that a fingerprint can have at two bits.
 
 ``keep``, the filter of a pipeline, also catches texts whose five-word shingles are alike at
-0.8 or more. Shingle fingerprints of such texts differ by eight bits on average, too many for
-a covering, but one changed word changes only one member of the set of words. So ``BANKS``
-independent 46-bit fingerprints of that set go to the anchors, at one bit, and every pair they
-bring is judged by its shingles. Texts of one fingerprint meet the least and the greatest of
-them, not each other, so pairs stay linear in the texts.
+0.8 or more, by a complete prefix filter. All shingles have one order, by how often their cell
+of a count table was met and then by hash; two alike texts share one of the first fifth of
+their shingles. Texts that share one are first judged against two of each bucket and size
+class, then all pairs that these links leave in different groups are judged, so large groups
+of copies stay linear and no pair is left out. Judging counts whole sets of 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stage, text_bytes, unstage
+from .common import map_batches, ship, stage, text_bytes, unstage
 from .components import connected_components
 
 RADIUS, BLOCK, CHECKS = 3, 23, 11
-#: Fingerprints of the set of words, and least shingle hashes by which a pair is judged.
-BANKS, SKETCH = 16, 256
+#: Least shingle hashes of a sketch.
+SKETCH = 256
+#: Cells of the count table that orders shingles, and slices in which it is summed.
+CELLS, SLICES = 1 << 19, 64
+#: Members of a bucket that one salt takes.
+SALTED = 500
+#: Slack of comparisons with products of ``least``.
+EPS = 1e-9
 #: Fixed value: generator polynomial of the binary Golay code, x^11+x^9+x^7+x^6+x^5+x+1.
 GOLAY = 0b101011100011
 
@@ -109,20 +117,14 @@ def anchors(fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.
     return rows, anchor, (i == 0) & (j == 0)
 
 
-def links(fps: DataFrame, threshold: int = 2, tagged: bool = False) -> DataFrame:
-    """(a, b): pairs of distinct fingerprints, a below b, at ``threshold`` bits or fewer.
-
-    Where they are ``tagged``, the bits above the two blocks name a bank, and only
-    fingerprints of one bank meet.
-    """
+def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
+    """(a, b): pairs of distinct fingerprints, a below b, at ``threshold`` bits or fewer."""
 
     def deal(b: pa.RecordBatch) -> pa.RecordBatch:
         fp = b.column(0).to_numpy()
         out: list[tuple[np.ndarray, ...]] = []
         for at in range(0, len(fp), 2000):
             rows, anchor, home = anchors(fp[at : at + 2000], threshold)
-            if tagged:
-                anchor |= fp[at : at + 2000][rows] >> (2 * BLOCK) << (2 * BLOCK)
             out.append((fp[at : at + 2000][rows], anchor, home))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["fp", "anchor", "home"])
 
@@ -167,32 +169,26 @@ def mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_banks(words: np.ndarray) -> np.ndarray:
-    """``BANKS`` tagged fingerprints of a set of word hashes; none of no words."""
-    words = np.unique(words)
-    if not len(words):
-        return np.zeros(0, np.int64)
-    ones = np.zeros(BANKS * 48, np.int64)
-    for at in range(0, len(words), 1 << 12):
-        part = words[at : at + (1 << 12)]
-        bits = np.stack([mixed(part, 2 * i + 1) for i in range(BANKS * 3 // 4)], axis=1)
-        ones += np.unpackbits(bits.view(np.uint8), axis=1).sum(0, dtype=np.int32)
-    packed = np.packbits((2 * ones > len(words)).reshape(BANKS, 48)[:, : 2 * BLOCK], axis=1, bitorder="little")
-    fp = np.zeros((BANKS, 8), np.uint8)
-    fp[:, : packed.shape[1]] = packed
-    return fp.view(np.int64).ravel() | (np.arange(BANKS) << (2 * BLOCK))
+def word_hashes(data: bytes) -> np.ndarray:
+    """XXH64 with seed 7 of the words of UTF-8 bytes, A-Z lowered."""
+    return np.array([xxhash.xxh64_intdigest(t, 7) for t in data.lower().split()], np.uint64)
 
 
-def sketch(words: np.ndarray, width: int) -> np.ndarray:
-    """The ``SKETCH`` least different hashes of shingles of ``width`` words: all, if no more."""
+def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
+    """The different 64-bit hashes of shingles of ``width`` words (all words, if fewer), sorted."""
     if not len(words):
-        return np.zeros(0, np.uint32)
+        return np.zeros(0, np.uint64)
     width = min(width, len(words))
     n = len(words) - width + 1
     h = np.zeros(n, np.uint64)
     for i in range(width):
         h = mixed(h ^ words[i : i + n], 2 * i + 1)
-    return np.unique((h >> np.uint64(32)).astype(np.uint32))[:SKETCH]
+    return np.unique(h)
+
+
+def sketch(words: np.ndarray, width: int) -> np.ndarray:
+    """The ``SKETCH`` least different 32-bit hashes of shingles of ``width`` words: all, if no more."""
+    return np.unique((shingle_set(words, width) >> np.uint64(32)).astype(np.uint32))[:SKETCH]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -206,84 +202,199 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return int((same <= both[-1]).sum()) / len(both)
 
 
-def traits(docs: DataFrame, width: int, shingle: int) -> DataFrame:
-    """(doc_id, fp, text_key, banks, sketch) of each row; arrays are packed as binary."""
+def alike_sets(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two sets of hashes is ``least`` or more."""
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    return same >= least * (len(a) + len(b) - same) - EPS
+
+
+def cell_counts(docs: DataFrame, shingle: int) -> np.ndarray:
+    """How many shingles of all texts fall to each of ``CELLS`` cells.
+
+    The counts only order shingles, the rare ones first; whatever they are, no pair is lost.
+    """
+    size = CELLS // SLICES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int32)
+        for b in batches:
+            sets = [shingle_set(word_hashes(x), shingle) for x in text_bytes(b.column(0))]
+            if sets:
+                total += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int32)
+        if total.any():
+            parts = [total[i * size : (i + 1) * size].tobytes() for i in range(SLICES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(size, np.int64)
+        for x in t["counts"].to_pylist():
+            total += np.frombuffer(x, np.int32)
+        return pa.table({"slice": t["slice"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    ship(docs.sparkSession)
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "slice int, counts binary")
+    out = np.zeros((SLICES, size), np.int64)
+    for r in counted.groupBy("slice").applyInArrow(add, "slice int, counts binary").collect():
+        out[r["slice"]] = np.frombuffer(r["counts"], np.int64)
+    return out.ravel()
+
+
+def prefix_size(n: int, share: float) -> int:
+    """How many of the first of ``n`` ordered members hold one of any ``share`` of them."""
+    return n - math.ceil(share * n - EPS) + 1 if n else 0
+
+
+def traits(docs: DataFrame, width: int, shingle: int, least: float) -> DataFrame:
+    """(doc_id, fp, text_key, n, first) of each row: n different shingles, the first of them in
+    order packed as binary, as many as a text alike at ``least`` must share one of."""
+    sent = docs.sparkSession.sparkContext.broadcast(cell_counts(docs, shingle))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        fps, keys, banks, kept = [], [], [], []
+        fps, keys, sizes, first = [], [], [], []
         for x in text_bytes(b.column(1)):
-            w = x.lower().split()
-            h = np.array([xxhash.xxh64_intdigest(t, 7) for t in w], np.uint64)
+            h = shingle_set(word_hashes(x), shingle)
+            order = np.lexsort((h, sent.value[(h & np.uint64(CELLS - 1)).astype(np.int64)]))
             fps.append(fingerprint(x, width))
-            keys.append(xxhash.xxh3_128_digest(b" ".join(w)))
-            banks.append(word_banks(h).tobytes())
-            kept.append(sketch(h, shingle).tobytes())
-        cols = [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), *(pa.array(c, pa.binary()) for c in (keys, banks, kept))]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "text_key", "banks", "sketch"])
+            keys.append(xxhash.xxh3_128_digest(b" ".join(x.lower().split())))
+            sizes.append(len(h))
+            first.append(h[order[: prefix_size(len(h), least)]].tobytes())
+        cols = [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(first, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "text_key", "n", "first"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(d, run, "doc_id long, fp long, text_key binary, banks binary, sketch binary")
+    return map_batches(d, run, "doc_id long, fp long, text_key binary, n int, first binary")
 
 
 def _unpacked(nodes: DataFrame) -> DataFrame:
-    """(root, tag): one row for each bank of each text."""
+    """(tok, root, n, at): one row for each of the first shingles of each text, with its place."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        toks = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
+        sizes = [len(t) for t in toks]
+        at = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
+        cols = [np.concatenate(toks), np.repeat(b.column(0).to_numpy(), sizes), np.repeat(b.column(1).to_numpy(), sizes), at]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["tok", "root", "n", "at"])
+
+    return map_batches(nodes.select("root", "n", "first"), run, "tok long, root long, n int, at int")
+
+
+def _fits(n: Column, at: Column, m: Column, to: Column, least: float) -> Column:
+    """Whether texts of n and m shingles, the first common one at places ``at`` and ``to``, can be alike."""
+    sizes = (n >= least * m - EPS) & (m >= least * n - EPS)
+    return sizes & (F.least(n - at, m - to) >= least / (1 + least) * (n + m) - EPS)
+
+
+def _indexed(n: Column, at: Column, least: float) -> Column:
+    """Whether a place is among those at which the smaller of two alike texts has the first common shingle."""
+    return at <= n - F.ceil(2 * least / (1 + least) * n - EPS)
+
+
+def judged(pairs: DataFrame, docs: DataFrame, least: float, shingle: int) -> DataFrame:
+    """(a, b) of ``pairs``, staged: those whose whole sets of shingles are alike at ``least`` or more."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        tags = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
-        root = np.repeat(b.column(0).to_numpy(), [len(t) for t in tags])
-        return pa.RecordBatch.from_arrays([pa.array(root), pa.array(np.concatenate(tags))], ["root", "tag"])
-
-    return map_batches(nodes.select("root", "banks"), run, "root long, tag long")
-
-
-def alike(nodes: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """(a, b): texts of ``nodes`` (root, banks) that the banks bring together and whose
-    ``sketches`` (doc_id, sketch) are alike at ``least`` or more."""
-    tags = stage(_unpacked(nodes), "tags")
-    ends = [F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")]
-    buckets = stage(tags.groupBy("tag").agg(*ends), "buckets")
-    many = buckets.filter("n > 1").select("tag", "low", "high")
-    inner = tags.join(many, "tag").select("root", F.explode(F.array("low", "high")).alias("other"))
-    near = links(buckets.select(F.col("tag").alias("fp")), 1, tagged=True)
-    at = lambda k: buckets.select(F.col("tag").alias(k), F.array("low", "high").alias(f"{k}s"))
-    across = near.join(at("a"), "a").join(at("b"), "b").select(F.explode(F.arrays_zip("as", "bs")).alias("p"))
-    pairs = inner.union(across.select("p.as", "p.bs")).filter("root <> other")
-    pairs = stage(pairs.select(F.least("root", "other").alias("a"), F.greatest("root", "other").alias("b")).distinct(), "pairs")
-    side = lambda k: sketches.select(F.col("doc_id").alias(k), F.col("sketch").alias(f"s{k}"))
+        sets = [shingle_set(word_hashes(x), shingle).tobytes() for x in text_bytes(b.column(1))]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["id", "members"])
+
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sets = map_batches(d.join(ids, "doc_id", "left_semi"), run, "id long, members binary").distinct()
+    sets = stage(sets, "sets")
 
     def judge(b: pa.RecordBatch) -> pa.RecordBatch:
         x, y = (b.column(i).to_pylist() for i in (2, 3))
-        ok = [likeness(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)) >= least for p, q in zip(x, y)]
+        ok = [alike_sets(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), least) for p, q in zip(x, y)]
         return b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    side = lambda k: sets.select(F.col("id").alias(k), F.col("members").alias(f"s{k}"))
     seen = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
     found = stage(map_batches(seen, judge, "a long, b long"), "alike")
-    for done in (tags, buckets, pairs):
-        unstage(done)
+    unstage(sets)
     return found
 
 
+def _ordered(x: Column, y: Column) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def star_pairs(members: DataFrame, least: float) -> DataFrame:
+    """(a, b): each member of a bucket and size class with the least and the greatest there."""
+    size_class = F.floor(F.log("n") / math.log(1 / least)).cast("int")
+    t = members.withColumn("class", size_class)
+    one = F.struct("root", "n", "at")
+    hubs = t.groupBy("tok", "class").agg(F.min(one).alias("low"), F.max(one).alias("high")).filter("low.root < high.root")
+    met = t.join(hubs, ["tok", "class"]).select("root", "n", "at", F.explode(F.array("low", "high")).alias("h"))
+    met = met.filter((F.col("root") != F.col("h.root")) & _fits(F.col("n"), F.col("at"), F.col("h.n"), F.col("h.at"), least))
+    return met.select(*_ordered(F.col("root"), F.col("h.root"))).distinct()
+
+
+def cross_pairs(members: DataFrame, comp: DataFrame, least: float) -> DataFrame:
+    """(a, b): all pairs of a bucket that can be alike and are of different groups of ``comp``.
+
+    One of each such pair is outside the bucket's largest group; buckets are salted by size.
+    """
+    named = members.join(comp, members.root == comp.node, "left").withColumn("comp", F.coalesce("component", "root"))
+    named = stage(named.select("tok", "root", "n", "at", "comp"), "named")
+    sums = named.groupBy("tok", "comp").agg(F.count("*").alias("c"))
+    mixed_ = sums.groupBy("tok").agg(F.max_by("comp", "c").alias("top"), F.sum("c").alias("m"), F.count("*").alias("k")).filter("k > 1")
+    t = named.join(mixed_.select("tok", "top", F.ceil(F.col("m") / SALTED).cast("int").alias("salts")), "tok")
+    x = t.filter("comp <> top").withColumn("salt", F.pmod(F.xxhash64("root"), F.col("salts")).cast("int")).alias("x")
+    y = t.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
+    c = F.col
+    once = (c("y.comp") == c("y.top")) | (c("x.root") < c("y.root"))
+    first = (
+        F.when(c("x.n") < c("y.n"), _indexed(c("x.n"), c("x.at"), least))
+        .when(c("x.n") > c("y.n"), _indexed(c("y.n"), c("y.at"), least))
+        .otherwise(_indexed(c("x.n"), c("x.at"), least) & _indexed(c("y.n"), c("y.at"), least))
+    )
+    fits = _fits(c("x.n"), c("x.at"), c("y.n"), c("y.at"), least)
+    on = (c("x.tok") == c("y.tok")) & (c("x.salt") == c("y.salt")) & (c("x.comp") != c("y.comp")) & once & first & fits
+    pairs = stage(x.join(y, on).select(*_ordered(c("x.root"), c("y.root"))).distinct(), "pairs")
+    unstage(named)
+    return pairs
+
+
+def alike(nodes: DataFrame, docs: DataFrame, known: DataFrame, least: float, shingle: int) -> DataFrame:
+    """(node, component) over the links ``known`` (a, b) and all texts of ``nodes`` (root, n, first)
+    whose shingles are alike at ``least`` or more."""
+    toks = _unpacked(nodes)
+    use = F.max(_indexed(F.col("n"), F.col("at"), least)).alias("use")
+    shared = toks.groupBy("tok").agg(F.min("root").alias("low"), F.max("root").alias("high"), use).filter("use and low < high")
+    members = stage(toks.join(shared.select("tok"), "tok"), "members")
+    pairs = stage(star_pairs(members, least), "pairs")
+    near = judged(pairs, docs, least, shingle)
+    comp = stage(connected_components(known.union(near)), "comp")
+    left = cross_pairs(members, comp, least)
+    more = judged(left, docs, least, shingle)
+    for done in (members, pairs, near, left):
+        unstage(done)
+    out = connected_components(comp.select("node", "component").union(more).toDF("a", "b"))
+    for done in (comp, more):
+        unstage(done)
+    return out
+
+
 def keep(docs: DataFrame, threshold: int = 2, width: int = 3, least: float = 0.8, shingle: int = 5) -> DataFrame:
     """One row of ``docs`` for each group, that of the smallest doc_id, with all its columns.
 
-    Links are those of ``groups`` and, beside them, texts alike at ``least`` or more by their
+    Links are those of ``groups`` and, beside them, all texts alike at ``least`` or more by their
     shingles of ``shingle`` words. Rows with a null doc_id stay, as nothing tells them apart;
     of rows that share a doc_id one stays; null and blank texts are one group; an empty table
     gives no rows.
     """
-    own = stage(traits(docs.filter("doc_id is not null"), width, shingle), "traits")
-    nodes = own.groupBy("text_key").agg(F.min("doc_id").alias("root"), F.min("fp").alias("fp"), F.min("banks").alias("banks"))
+    real = docs.filter("doc_id is not null")
+    own = stage(traits(real, width, shingle, least), "traits")
+    nodes = own.groupBy("text_key").agg(*(F.min(x).alias(y) for x, y in (("doc_id", "root"), ("fp", "fp"), ("n", "n"), ("first", "first"))))
     nodes = stage(nodes, "texts")
+    unstage(own)
     prints = stage(nodes.groupBy("fp").agg(F.min("root").alias("low"), F.count("*").alias("n")), "prints")
     at = lambda k: prints.select(F.col("fp").alias(k), F.col("low").alias(f"r{k}"))
     close = links(prints, threshold).join(at("a"), "a").join(at("b"), "b").select("ra", "rb")
     same = nodes.join(prints.filter("n > 1").select("fp", "low"), "fp").select("root", "low")
-    sketches = own.join(nodes.select("root"), F.col("doc_id") == F.col("root"), "left_semi").select("doc_id", "sketch").dropDuplicates(["doc_id"])
-    near = alike(nodes, sketches, least)
-    found = close.union(same).union(near).toDF("a", "b")
-    gone = connected_components(found).filter("node <> component").select(F.col("node").alias("root"))
+    known = stage(close.union(same).toDF("a", "b"), "known")
+    gone = alike(nodes, real, known, least, shingle).filter("node <> component").select(F.col("node").alias("root"))
     first = stage(nodes.select("root").join(gone, "root", "left_anti").select(F.col("root").alias("doc_id")).distinct(), "first")
-    for done in (own, nodes, prints, near):
+    for done in (nodes, prints, known):
         unstage(done)
-    named = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = real.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

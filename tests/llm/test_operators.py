@@ -129,6 +129,48 @@ def test_near_duplicate_filter(spark):
     assert simhash.keep(docs(spark, [])).count() == 0
 
 
+def plain_kept(rows, least=0.8):
+    """Ids that stay, by comparing all pairs: shingles alike at ``least``, or fingerprints within two bits."""
+    sets, fps, lead = [shingles(t) for _, t in rows], [simhash.fingerprint(t.encode()) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while lead[i] != i:
+            i = lead[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if same >= least * (len(sets[i]) + len(sets[j]) - same) - 1e-9 or (fps[i] ^ fps[j]).bit_count() <= 2:
+                x, y = sorted((find(i), find(j)), key=lambda k: rows[k][0])
+                lead[y] = x
+    return {rows[i][0] for i in range(len(rows)) if find(i) == i}
+
+
+def invented(r, n):
+    return ["".join(r.choices("abcdefghijklmnop", k=9)) for _ in range(n)]
+
+
+def test_near_duplicates_edited_in_one_piece(spark):
+    r = random.Random(21)
+    rows = []
+    for i in range(40):
+        size = r.choice((100, 250, 600, 1000))
+        w = invented(r, size)
+        rows.append((i, " ".join(w)))
+        for k, goal in enumerate((0.77, 0.805, 0.85, 0.9, 0.95)):
+            cut = int(size * (1 - goal)) - 3 * (size > 100)
+            half = int(size * (1 - goal) / (1 + goal)) - 3 * (size > 100)
+            at = r.randrange(1, size - cut)
+            for j, v in enumerate((w + invented(r, int(size * (1 / goal - 1)) - 3), w[:-cut], w[:at] + invented(r, half) + w[at + half :])):
+                if (i + j + k) % 3:  # as first and last of a chain they would hide each other
+                    continue
+                rows.append((10_000 + 1000 * i + 10 * k + j, " ".join(v)))
+    want = plain_kept(rows)
+    got = {x["doc_id"] for x in simhash.keep(docs(spark, rows)).collect()}
+    assert got == want and 40 <= len(want) < 100
+
+
 def test_likeness_of_sketches():
     r = np.random.default_rng(3)
     for size in (40, 200, 4000):
