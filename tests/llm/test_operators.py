@@ -171,6 +171,18 @@ def test_near_duplicates_edited_in_one_piece(spark):
     assert got == want and 40 <= len(want) < 100
 
 
+def test_near_duplicates_of_one_word_set(spark):
+    r = random.Random(5)
+    base, rows = invented(r, 120), []
+    for i in range(1, 40):  # other orders of the same words
+        w = r.sample(base, len(base))
+        rows.append((i + 1000 * (i % 2), " ".join(w)))
+        if i % 3 == 0:  # alike: the last words turned round
+            rows.append((100 + i, " ".join(w[:-6] + w[-6:][::-1])))
+    want = plain_kept(rows)
+    assert {x["doc_id"] for x in simhash.keep(docs(spark, rows)).collect()} == want and len(want) == 39
+
+
 def test_likeness_of_sketches():
     r = np.random.default_rng(3)
     for size in (40, 200, 4000):
