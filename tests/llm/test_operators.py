@@ -183,6 +183,17 @@ def test_near_duplicates_of_one_word_set(spark):
     assert {x["doc_id"] for x in simhash.keep(docs(spark, rows)).collect()} == want and len(want) == 39
 
 
+def test_near_duplicates_judged_by_whole_sets(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(60):  # one replaced piece; likeness just above or below 0.8
+        w = invented(r, 1500)
+        k = int((1496 * 0.2 / 1.8)) - 4 + (1 if i % 2 else -1) * r.randrange(1, 8)
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(w[:700] + invented(r, k) + w[700 + k :]))]
+    want = plain_kept(rows)
+    assert {x["doc_id"] for x in simhash.keep(docs(spark, rows)).collect()} == want and 80 < len(want) < 100
+
+
 def test_likeness_of_sketches():
     r = np.random.default_rng(3)
     for size in (40, 200, 4000):
