@@ -1,11 +1,11 @@
 """URL filters by fixed rules and a path-template tree, in DataFrame functions only.
 
-Template tree: a path is split into at most ``DEPTH`` segments (what lies deeper is one more
-segment). Segments of digits, of hexadecimal or of digits with a file suffix are variable by
-form and become ``{n}``, ``{h}`` or ``{n}.suffix``. From the root down, a parent of one host
-that still has more than ``FANOUT`` children turns them into ``*``; among fewer children,
-those whose share of bad labels doesn't differ significantly from their siblings' pooled share
-are merged into ``*`` too. A template is rejected when its share of bad labels, smoothed
+Template tree: a path is split into all its segments. Segments of digits, of hexadecimal or of
+digits with a file suffix are variable by form and become ``{n}``, ``{h}`` or ``{n}.suffix``.
+From the root down, children of one parent and host, however many, whose share of bad labels
+doesn't differ significantly from their siblings' pooled share are merged into ``*``; the
+others keep their names. Below a parent whose labels all agree nothing can differ, so only
+mixed parents take another level. A template is rejected when its share of bad labels, smoothed
 towards the share of the whole table (at most REJECT - 0.2, so that a template without labels
 is allowed), reaches ``REJECT``.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, stage
 
-DEPTH, FANOUT, Z, PRIOR, REJECT = 3, 50, 2.0, 10.0, 0.5
+Z, PRIOR, REJECT = 2.0, 10.0, 0.5
 #: Rule lists are inlined into the expression up to this many.
 MAX_RULES = 2000
 
@@ -63,18 +63,23 @@ def _segments(path: Column) -> Column:
         .when(s.rlike(r"^[0-9a-fA-F-]{16,}$"), F.lit("{h}"))
         .otherwise(s)
     )
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/", DEPTH + 1)
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
     return F.transform(parts, typed)
 
 
+def _pools(t: DataFrame) -> DataFrame:
+    """(h_, p_, fan, lab_all, bad_all) of each parent: its paths and their labels."""
+    return t.groupBy(F.col("host").alias("h_"), F.col("prefix").alias("p_")).agg(
+        F.count("*").alias("fan"), F.sum("lab").alias("lab_all"), F.sum("bad").alias("bad_all")
+    )
+
+
 def _level(t: DataFrame, d: int) -> DataFrame:
-    """Generalise segment ``d`` of templates with the columns host, prefix, segs, n, lab, bad."""
+    """Generalise segment ``d`` of templates with the columns host, prefix, segs, lab, bad."""
     seg = F.coalesce(F.get("segs", F.lit(d)), F.lit(""))
     t = t.withColumn("seg", seg)
-    child = t.groupBy("host", "prefix", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "lab", "bad")))
-    pool = child.groupBy(F.col("host").alias("h_"), F.col("prefix").alias("p_")).agg(
-        F.count("*").alias("fan"), F.sum("lab").alias("lab_all"), F.sum("bad").alias("bad_all")
-    )
+    child = t.groupBy("host", "prefix", "seg").agg(*(F.sum(c).alias(c) for c in ("lab", "bad")))
+    pool = _pools(child)
     share = F.col("bad_all") / F.greatest(F.col("lab_all"), F.lit(1))
     noise = F.sqrt((share * (1 - share) + 0.25 / (1 + F.col("lab_all"))) / F.greatest(F.col("lab"), F.lit(1)))
     alike = (F.col("lab") == 0) | (F.abs(F.col("bad") / F.greatest(F.col("lab"), F.lit(1)) - share) <= Z * noise)
@@ -83,25 +88,50 @@ def _level(t: DataFrame, d: int) -> DataFrame:
         F.col("host").alias("h_"),
         F.col("prefix").alias("p_"),
         F.col("seg").alias("s_"),
-        F.when(ends, F.lit("")).when((F.col("fan") > FANOUT) | alike, F.lit("*")).otherwise(F.col("seg")).alias("to"),
+        F.when(ends, F.lit("")).when(alike, F.lit("*")).otherwise(F.col("seg")).alias("to"),
     )
     on = (F.col("host") == F.col("h_")) & (F.col("prefix") == F.col("p_")) & (F.col("seg") == F.col("s_"))
-    return t.join(named, on).select(
-        "host", "path_", "segs", "n", "lab", "bad", F.concat("prefix", F.lit("/"), "to").alias("prefix")
-    )
+    return t.join(named, on).select("host", "path_", "segs", "lab", "bad", F.concat("prefix", F.lit("/"), "to").alias("prefix"))
+
+
+def _settle(t: DataFrame, d: int) -> DataFrame:
+    """Add ``done`` and, where it is true, the whole template; segments before ``d`` are generalised.
+
+    Done are ended paths, and all below a parent of one path or of labels that agree: there
+    each child's share is the pooled one, so every segment left would become ``*``.
+    """
+    one = (F.col("fan") == 1) | (F.col("bad_all") == 0) | (F.col("bad_all") == F.col("lab_all"))
+    ended = F.size("segs") < d
+    left = F.transform(F.slice("segs", d + 1, F.greatest(F.size("segs"), F.lit(1))), lambda x: F.when(x == "", x).otherwise(F.lit("*")))
+    whole = F.concat("prefix", F.lit("/"), F.array_join(F.concat(left, F.array(F.lit(""))), "/"))
+    seen = t.join(_pools(t), (F.col("host") == F.col("h_")) & (F.col("prefix") == F.col("p_")))
+    name = F.when(ended, F.col("prefix")).when(one, whole).otherwise(F.col("prefix"))
+    return seen.select("host", "path_", "segs", "lab", "bad", name.alias("prefix"), (ended | one).alias("done"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, path_, template, verdict) for each (host, typed path) of ``pages``.
 
     ``pages`` has host, segs (typed segments), path_ (those joined) and bad (1, 0 or null).
+    Empty segments at the end of a path don't count.
     """
     t = pages.groupBy("host", "path_").agg(
-        F.first("segs").alias("segs"), F.count("*").alias("n"), F.count("bad").alias("lab"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
+        F.first("segs").alias("segs"), F.count("bad").alias("lab"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
     )
-    t = stage(t.withColumn("prefix", F.lit("")), "templates")
-    for d in range(DEPTH + 1):  # staged, as each level reads the one before three times
-        t = stage(_level(t, d), "templates")
+    trimmed = F.split(F.regexp_replace(F.array_join("segs", "/"), "/+$", ""), "/", -1)
+    t = t.withColumn("segs", F.filter(trimmed, lambda x, i: (i > 0) | (x != "") | (F.size(trimmed) > 1)))
+    parts: list[DataFrame] = []
+    t, d = t.withColumn("prefix", F.lit("")), 0
+    while True:  # staged, as each level reads the one before three times
+        settled = stage(_settle(t, d), "templates")
+        parts.append(settled.filter("done").drop("done", "segs"))
+        going = settled.filter("not done").drop("done")
+        if going.isEmpty():
+            break
+        t, d = stage(_level(going, d), "templates"), d + 1
+    t = parts[0]
+    for x in parts[1:]:
+        t = t.union(x)
     sums = t.groupBy("host", "prefix").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
     base = t.agg((F.sum("bad") / F.greatest(F.sum("lab"), F.lit(1))).alias("base"))
     judged = sums.crossJoin(F.broadcast(base)).select(  # one row

@@ -438,6 +438,18 @@ def test_urls(spark):
     assert urls.judge(df, labels.limit(0), []).count() == len(pages) and urls.judge(df.limit(0), labels, URL_RULES).count() == 0
 
 
+def test_url_templates_at_any_fan_out_and_depth(spark):
+    paths = [f"/s{chr(97 + k // 26)}{chr(97 + k % 26)}/p{i}x" for k in range(60) for i in range(20)]
+    deep = [f"/a/b/c/{kind}/{i}/z" for kind in ("spam", "fine") for i in range(60)]
+    pages = [(k, "http://wide.site" + p) for k, p in enumerate(paths)] + [(5000 + k, "http://deep.site" + p) for k, p in enumerate(deep)]
+    pages += [(9000, "http://wide.site"), (9001, "http://wide.site/"), (9002, "http://deep.site/a/b/c//")]
+    bad = lambda i, u: int("/sbh/" in u or "/spam/" in u)
+    labels = spark.createDataFrame([(i, bad(i, u)) for i, u in pages if i < 9000 and i % 20 < 15], "page_id long, bad int")
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), labels, []).collect()}
+    assert len(got) == len(pages) and all(got[i]["verdict"] == ("block" if bad(i, u) else "allow") for i, u in pages)
+    assert got[0]["template"] == "/*/*/" and got[5000]["template"] == "/*/*/*/spam/*/*/" and got[9000]["template"] == got[9001]["template"]
+
+
 def test_pipeline_stages(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     good = prose(80, 11, 120)
