@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from linkloom.operators.features import FEATURES
 
+from .tsv import write_tsv
+
 #: Name, address and zip of the ten template businesses.
 TEMPLATES = [
     ("Walmart Supercenter", "702 SW 8th St, Bentonville, AR", "72716"),
@@ -60,6 +62,14 @@ def candidates(spark: SparkSession, n: int = 50) -> DataFrame:
     )
 
 
+def save(spark: SparkSession, folder: str, n: int = 50) -> None:
+    """Write the synthetic candidates, truth and records as TSV files."""
+    c = candidates(spark, n)
+    write_tsv(c.drop("matched_entity_ids"), f"{folder}/synthetic_candidate_pairs.tsv")
+    write_tsv(c.drop("candidate_entity_ids"), f"{folder}/synthetic_ground_truth.tsv")
+    write_tsv(entities(spark, n), f"{folder}/synthetic_normalized_records.tsv")
+
+
 def feature_rows(spark: SparkSession, n: int = 5000, share: float = 0.1, seed: int = 42) -> DataFrame:
     """s1, cand, label and FEATURES: positives score high, negatives low."""
     pos = F.col("id") < int(n * share)

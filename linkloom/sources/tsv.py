@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions.normalize import NA_CELLS, normalize
@@ -21,6 +21,12 @@ def exists(spark: SparkSession, path: str, least: int = 0) -> bool:
     return bool(fs.exists(p)) and fs.getContentSummary(p).getLength() > least
 
 
+def present(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is there, empty or not."""
+    fs, p = _fs(spark, path)
+    return bool(fs.exists(p))
+
+
 def list_files(spark: SparkSession, folder: str, suffix: str = ".tsv") -> list[str]:
     """Sorted data files of a folder, without ground truth."""
     fs, p = _fs(spark, folder)
@@ -28,26 +34,73 @@ def list_files(spark: SparkSession, folder: str, suffix: str = ".tsv") -> list[s
     return [n for n in names if n.endswith(suffix) and "ground_truth" not in n]
 
 
-def read_tsv(spark: SparkSession, path: str | list[str], multiline: bool = True) -> DataFrame:
-    """All columns as strings, missing cells null, with ``ord`` in file order.
+def place() -> Column:
+    """Where a scanned row stands: its file, the split's start in it, and its order in the split.
 
-    Quoted line breaks need ``multiline``, which reads a file in one task; large files without
-    them are read in splits with multiline=False.
+    Unlike the row's number in a scan, this doesn't depend on how Spark packs files into tasks.
     """
-    d = spark.read.options(**_OPTIONS, multiLine=multiline, inferSchema=False).csv(path)
-    return d.withColumns({c: F.when(~F.col(c).isin(NA_CELLS), F.col(c)) for c in d.columns}).withColumn(
-        "ord", F.monotonically_increasing_id()
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")
     )
 
 
-def write_tsv(df: DataFrame, path: str, skip_existing: bool = False) -> bool:
-    """Write without quotes around empty strings; False if an output over 1,024 bytes was kept."""
-    if skip_existing and exists(df.sparkSession, path, 1024):
+def has_line_breaks(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether some quoted cell may span lines: a line holds an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
+def read_tsv(spark: SparkSession, path: str | list[str], multiline: bool | None = None) -> DataFrame:
+    """All columns as strings, missing cells null, with ``ord``, a row's place in file order.
+
+    Files are read in splits. Only cells with line breaks need ``multiline``, which reads each
+    file in one task; None looks for them first, in a pass over the text in splits.
+    """
+    if multiline is None:
+        multiline = has_line_breaks(spark, path)
+    d = spark.read.options(**_OPTIONS, multiLine=multiline, inferSchema=False).csv(path)
+    return d.select(*(F.when(~F.col(c).isin(NA_CELLS), F.col(c)).alias(c) for c in d.columns), place().alias("ord"))
+
+
+def write_tsv(df: DataFrame, path: str, skip_existing: bool = False, single_file: bool = False) -> bool:
+    """Write without quotes around empty strings; False if an output over 1,024 bytes was kept.
+
+    The output is a folder of part files, each with a header; parts without rows are dropped.
+    With ``single_file`` the parts are joined to one file at ``path``, with one header.
+    """
+    spark = df.sparkSession
+    if skip_existing and exists(spark, path, 1024):
         return False
-    df.drop("ord").fillna("").write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="", quote='"', escape='"')
+    rows = df.drop("ord").fillna("")
+    target = f"{path}.parts" if single_file else path
+    rows.write.mode("overwrite").csv(target, sep="\t", header=True, emptyValue="", quote='"', escape='"')
+    head = len("\t".join(rows.columns).encode()) + 1
+    fs, p = _fs(spark, target)
+    parts = sorted((s for s in fs.listStatus(p) if s.getPath().getName().startswith("part-")), key=lambda s: s.getPath().getName())
+    full = [s for s in parts if s.getLen() > head]
+    for s in parts:
+        if s.getLen() <= head and (full or s is not parts[0]):
+            fs.delete(s.getPath(), False)
+    if single_file:
+        _join_parts(spark, fs, [s.getPath() for s in full or parts[:1]], path, head)
+        fs.delete(p, True)
     return True
 
 
+def _join_parts(spark: SparkSession, fs, parts: list, path: str, head: int) -> None:
+    """One file of all parts, in order; the header of each but the first is left out."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if fs.exists(own):
+        fs.delete(own, True)
+    out = fs.create(own, True)
+    for k, p in enumerate(parts):
+        part = fs.open(p)
+        part.seek(head if k else 0)
+        spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, spark._jsc.hadoopConfiguration(), False)
+        part.close()
+    out.close()
+
+
 def preprocess_tsv(spark: SparkSession, path: str) -> DataFrame:
     return normalize(read_tsv(spark, path))
 
@@ -73,8 +126,10 @@ def load_normalized(spark: SparkSession, folder: str) -> DataFrame:
     """Union of all data files, ``ord`` ascending by file; later records win by it."""
     out = None
     for k, n in enumerate(list_files(spark, folder)):
-        d = read_tsv(spark, f"{folder}/{n}").fillna("").withColumn("ord", F.lit(k << 48) + F.col("ord"))
+        d = read_tsv(spark, f"{folder}/{n}").fillna("").withColumn("ord", F.struct(F.lit(k).alias("src"), "ord"))
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
+    if out is None:
+        raise FileNotFoundError(f"no data files in {folder}")
     return out
 
 
@@ -94,11 +149,27 @@ def load_ground_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    d = read_tsv(spark, path)
-    return d.select(F.trim(d.columns[0]).alias("id")).filter("id <> ''").distinct()
+    """Different first columns, as plain text without quoting; headers and blank lines are left out."""
+    d = spark.read.csv(path, sep="\t", header=True, quote="", inferSchema=False)
+    first, *rest = (F.col(f"`{c}`") for c in d.columns)
+    own = F.trim(F.coalesce(first, F.lit("")))
+    blank = (own == "") & (F.coalesce(*rest).isNull() if rest else F.lit(True))
+    return d.filter(~blank).select(own.alias("id")).distinct()
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) without the header line."""
-    d = spark.read.text(path).withColumn("line", F.monotonically_increasing_id() + 1)
-    return d.filter("line > 1").select("line", "value")
+    """(ord, value) of all lines, the header of each file included."""
+    return spark.read.text(path).select(place().alias("ord"), "value")
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """Adds ``line``, counted from 1 within each file, to the rows of ``read_lines``.
+
+    ``lines`` must be staged and hold every line: numbers come from the rows' places, by sums
+    over splits, of which there are far fewer than rows.
+    """
+    split = lines.groupBy(F.col("ord.file").alias("f_"), F.col("ord.start").alias("s_")).agg(F.min("ord.row").alias("first_"), F.count("*").alias("n_"))
+    w = Window.partitionBy("f_").orderBy("s_").rowsBetween(Window.unboundedPreceding, -1)
+    split = split.withColumn("before_", F.coalesce(F.sum("n_").over(w), F.lit(0)))
+    own = lines.join(split, (F.col("ord.file") == F.col("f_")) & (F.col("ord.start") == F.col("s_")))
+    return own.withColumn("line", F.col("ord.row") - F.col("first_") + F.col("before_") + 1).drop("f_", "s_", "first_", "n_", "before_")
