@@ -28,30 +28,27 @@ def _block(c: str = "country") -> Column:
 
 
 def _target_keys(targets: DataFrame) -> DataFrame:
-    """(block, rule, key, ord, pos, tid) for every index entry."""
-    word = F.col("w")
-    kinds = F.array(
-        *(
-            F.struct(F.lit(r).alias("rule"), k.alias("key"))
-            for r, k in (
-                (1, F.when(F.col("postal_code") != "", F.concat_ws("_", "postal_code", word))),
-                (2, word),
-                (4, F.nullif(soundex(word), F.lit(""))),
-                (5, F.substring(word, 1, 3)),
-            )
+    """(block, rule, key, ord, pos, tid) for every index entry, from one pass over the targets."""
+    kind = "struct<rule:int,pos:int,key:string>"
+    entry = lambda rule, pos, key: F.struct(F.lit(rule).alias("rule"), pos.cast("int").alias("pos"), key.alias("key")).cast(kind)
+    has = F.col("postal_code") != ""
+
+    def of_word(w: Column, i: Column) -> Column:
+        own = F.array(
+            entry(1, i, F.when(has, F.concat_ws("_", "postal_code", w))),
+            entry(2, i, w),
+            entry(4, i, F.nullif(soundex(w), F.lit(""))),
+            entry(5, i, F.substring(w, 1, 3)),
         )
+        return F.when(F.length(w) >= 3, own).otherwise(F.array().cast(f"array<{kind}>"))
+
+    by_word = F.flatten(F.transform(F.slice(_words(targets), 1, LEAD), of_word))
+    by_postal = F.array(entry(3, F.lit(0), F.when(has, F.col("postal_code"))))
+    keys = F.filter(F.concat(by_word, by_postal), lambda k: k["key"].isNotNull())
+    return (
+        targets.select("block", "ord", F.col("entity_id").alias("tid"), F.explode(keys).alias("k"))
+        .select("block", "k.rule", "k.key", "ord", "k.pos", "tid")
     )
-    base = targets.withColumn("ws", F.slice(_words(targets), 1, LEAD))
-    by_word = (
-        base.select("block", "postal_code", "ord", "entity_id", F.posexplode("ws").alias("pos", "w"))
-        .filter(F.length("w") >= 3)
-        .select("block", "ord", "pos", "entity_id", F.explode(kinds).alias("k"))
-        .select("block", "k.rule", "k.key", "ord", "pos", F.col("entity_id").alias("tid"))
-    )
-    by_postal = targets.filter("postal_code <> ''").select(
-        "block", F.lit(3).alias("rule"), F.col("postal_code").alias("key"), "ord", F.lit(0).alias("pos"), F.col("entity_id").alias("tid")
-    )
-    return by_word.union(by_postal).filter("key is not null")
 
 
 def postings(targets: DataFrame) -> DataFrame:
@@ -59,13 +56,11 @@ def postings(targets: DataFrame) -> DataFrame:
 
     ``targets``: normalised records with ``block`` and ``ord``, the file order.
     """
-    keys = _target_keys(targets)
     w = Window.partitionBy("block", "rule", "key").orderBy("ord", "pos")
-    out = None
-    for rule, cap in CAPS.items():  # a literal cap lets Spark limit groups before the shuffle
-        part = keys.filter(F.col("rule") == rule).withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= cap)
-        out = part if out is None else out.union(part)
-    return out.select("block", "rule", "key", "rk", "tid")
+    cap = F.element_at(F.create_map(*(F.lit(x) for kv in CAPS.items() for x in kv)), F.col("rule"))
+    # the literal bound lets Spark cut groups before the shuffle; each rule's own cap follows
+    ranked = _target_keys(targets).withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= max(CAPS.values()))
+    return ranked.filter(F.col("rk") <= cap).select("block", "rule", "key", "rk", "tid")
 
 
 def _query_keys(s1: DataFrame) -> DataFrame:
@@ -122,17 +117,19 @@ def generate_candidates(s1: DataFrame, targets: DataFrame, top_k: int = 30) -> D
     """(source1_entity_id, candidates array) for every row of ``s1``.
 
     Both sides are normalised records with ``ord``. Records meet targets of their country; a
-    country without targets meets all of them. Repeated ids share the last row's result.
+    country without targets meets all of them. Repeated ids share the last row's result. Both
+    sides are read more than once, so they should be staged.
     """
     t = targets.withColumn("block", _block())
-    lands = t.select(F.col("block").alias("land")).distinct().withColumn("known", F.lit(True))
-    q = s1.withColumn("block", _block()).join(lands, F.col("block") == F.col("land"), "left")
-    q = q.withColumn("block", F.when(F.col("known"), F.col("block")).otherwise("*")).drop("land", "known")
-    stray = q.filter("block = '*'").select(F.lit("*").alias("all")).limit(1)
-    everywhere = t.crossJoin(F.broadcast(stray)).withColumn("block", F.col("all")).drop("all")  # one row or none
+    q = s1.withColumn("block", _block())
+    lands = t.select(F.col("block").alias("land")).distinct()  # as many rows as countries
+    stray = q.select("block").distinct().join(lands, F.col("block") == F.col("land"), "left_anti")
+    if not stray.isEmpty():
+        q = q.join(lands, F.col("block") == F.col("land"), "left").withColumn("block", F.coalesce("land", F.lit("*"))).drop("land")
+        t = t.withColumn("block", F.explode(F.array("block", F.lit("*"))))
     events = (
         _query_keys(q)
-        .join(postings(t.unionByName(everywhere)), ["block", "rule", "key"])
+        .join(postings(t), ["block", "rule", "key"])
         .groupBy("entity_id", "ord")
         .agg(F.array_sort(F.collect_list(F.struct("rule", "nth", "rk", "tid"))).alias("ev"))
     )

@@ -104,14 +104,17 @@ def evaluate_predictions(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return s.select("macro_f05", mp.alias("micro_precision"), mr.alias("micro_recall"), mf.alias("micro_f05"), "tp", "fp", "fn")
 
 
-def assemble_matches(candidates: DataFrame, predicted: DataFrame) -> DataFrame:
-    """(source1_entity_id, matched_entity_ids) for every candidate row: predictions that are candidates."""
+def assemble_matches(candidates: DataFrame, predicted: DataFrame, check_ids: bool = True) -> DataFrame:
+    """(source1_entity_id, matched_entity_ids) for every candidate row: predictions that are candidates.
+
+    With ``check_ids`` only ids of sources 2 and 3 other than the row's own stay; the legacy
+    form of the table goes without that rule.
+    """
     p = predicted.groupBy("s1").agg(F.flatten(F.collect_list("ids")).alias("ids"))
     ids = F.filter(F.transform(F.split(F.coalesce("candidate_entity_ids", F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
-    good = F.filter(
-        F.array_intersect(ids, F.coalesce("ids", F.array().cast("array<string>"))),
-        lambda x: x.rlike("^S[23]-") & (x != F.col("source1_entity_id")),
-    )
+    good = F.array_intersect(ids, F.coalesce("ids", F.array().cast("array<string>")))
+    if check_ids:
+        good = F.filter(good, lambda x: x.rlike("^S[23]-") & (x != F.col("source1_entity_id")))
     return candidates.join(p, candidates.source1_entity_id == p.s1, "left").select(
         "source1_entity_id", F.array_join(F.array_sort(good), ",").alias("matched_entity_ids")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +40,17 @@ def join_records(pairs: DataFrame, entities: DataFrame) -> DataFrame:
     return pairs.repartition(n, "s1").join(side("s1"), "s1").join(side("cand"), "cand")
 
 
+def skipped_pairs(pairs: DataFrame, entities: DataFrame) -> DataFrame:
+    """One row (pairs, no_s1, no_cand): pairs that ``join_records`` drops, by the record they lack first."""
+    ids = entities.filter("entity_id <> ''").select("entity_id").distinct()
+    side = lambda k: ids.select(F.col("entity_id").alias(k), F.lit(True).alias(f"has_{k}"))
+    j = pairs.join(side("s1"), "s1", "left").join(side("cand"), "cand", "left")
+    lacks = lambda k: F.col(f"has_{k}").isNull()
+    return j.agg(F.count("*").alias("pairs"), F.count_if(lacks("s1")).alias("no_s1"), F.count_if(~lacks("s1") & lacks("cand")).alias("no_cand"))
+
+
 def with_features(joined: DataFrame) -> DataFrame:
-    """Adds FEATURES to rows with s1_/cand_ name, address and zip."""
+    """(s1, cand, FEATURES) of rows with s1_/cand_ name, address and zip, and their label if they have one."""
     ship(joined.sparkSession)
     out = joined
     for k in ("name", "address"):
@@ -54,11 +65,45 @@ def with_features(joined: DataFrame) -> DataFrame:
         )
     same: Column = (F.col("s1_zip") != "") & (F.col("s1_zip") == F.col("cand_zip"))
     out = out.withColumn("exact_zip_match", F.when(same, 1.0).otherwise(0.0))
-    return out.select("s1", "cand", *FEATURES)
+    return out.select(*_kept(joined), *FEATURES)
+
+
+def _kept(d: DataFrame) -> list[str]:
+    return [c for c in ("s1", "cand", "label") if c in d.columns]
+
+
+def with_mock_features(joined: DataFrame, seed: int = 42) -> DataFrame:
+    """Stand-ins of the features, to try the steps around them: prefix and word shares, and noise."""
+    clip = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    noise = lambda k: F.rand(seed + k) * 0.1 - 0.05
+    n1, n2, a1, a2 = (F.col(c) for c in ("s1_name", "cand_name", "s1_address", "cand_address"))
+    seq = F.sequence(F.lit(0), F.least(F.length(n1), F.length(n2)))
+    same = F.size(F.filter(seq, lambda i: (i > 0) & (F.substring(n1, F.lit(1), i) == F.substring(n2, F.lit(1), i))))
+    prefix = same / F.greatest(F.length(n1), F.length(n2), F.lit(1))
+    words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda x: x != ""))
+    share = lambda x, y: F.size(F.array_intersect(words(x), words(y))) / F.greatest(F.size(F.array_union(words(x), words(y))), F.lit(1))
+    both = (a1 != "") & (a2 != "")
+    own = {
+        "name_levenshtein_ratio": clip(prefix + noise(1)),
+        "name_jaro_winkler": clip(prefix * 0.85 + 0.15 + noise(2)),
+        "name_token_sort_ratio": share(n1, n2),
+        "name_token_set_ratio": share(n1, n2),
+        "address_levenshtein_ratio": F.when(both, 0.1 + 0.6 * F.rand(seed + 3)).otherwise(0.0),
+        "address_jaro_winkler": F.when(both, 0.2 + 0.6 * F.rand(seed + 4)).otherwise(0.0),
+        "address_token_sort_ratio": share(a1, a2),
+        "address_token_set_ratio": share(a1, a2),
+        "exact_zip_match": F.when((F.col("s1_zip") != "") & (F.col("s1_zip") == F.col("cand_zip")), 1.0).otherwise(0.0),
+    }
+    return joined.select(*_kept(joined), *(own[n].alias(n) for n in FEATURES))
+
+
+def feature_function(use_mock: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """The scorer of joined pairs: the real features or, if asked for, the stand-ins."""
+    return with_mock_features if use_mock else with_features
 
 
-def extract_features(pairs: DataFrame, entities: DataFrame) -> DataFrame:
-    return with_features(join_records(pairs, entities))
+def extract_features(pairs: DataFrame, entities: DataFrame, use_mock: bool = False) -> DataFrame:
+    return feature_function(use_mock)(join_records(pairs, entities))
 
 
 def as_map(features: DataFrame) -> DataFrame:
