@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.normalize import normalize
+from linkloom.session import spread
 
 SUFFIXES = [" Pvt Ltd", " Inc.", " LLC", " Corp", ""]
 
 
 def raw_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    t = d.withColumn("t", F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != ""))
+    words = F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != "")
+    t = spread(d.select("doc_id", "lang", F.slice(words, 1, 12).alias("t")))
     zip_ = 10000 + F.aggregate(F.slice("t", 1, 12), F.lit(0).cast("long"), lambda a, x: a * 7 + F.length(x)) % 80000
     land = F.when(F.col("lang") == "fr", "France").when(F.col("lang") == "en", "US").when(F.col("lang") == "es", "India").otherwise("Germany")
     tail = (

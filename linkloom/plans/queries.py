@@ -11,7 +11,7 @@ from linkloom.operators import blocking, evaluation, features, training, validat
 from linkloom.session import stage
 from linkloom.sources import synthetic, tsv
 
-from . import fixture, sqlgen
+from . import fixture, resolution, sqlgen
 
 TOP_K = 30
 
@@ -65,28 +65,29 @@ def blocking_postings(spark: SparkSession, d: str) -> DataFrame:
     return blocking.postings(t)
 
 
-def _lists(spark: SparkSession, d: str, top_k: int = TOP_K) -> DataFrame:
-    e = _norm(spark, d)
+def _lists(e: DataFrame, top_k: int = TOP_K) -> DataFrame:
+    """Candidate lists of normalised records, staged as the pipeline does."""
     out = blocking.generate_candidate_pairs(*(fixture.source(e, k) for k in (1, 2, 3)), top_k=top_k)
     return stage(out, "candidates")
 
 
 def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _lists(spark, d)
+    return _lists(_norm(spark, d))
 
 
 def candidate_pairs_top5(spark: SparkSession, d: str) -> DataFrame:
-    return _lists(spark, d, 5)
+    return _lists(_norm(spark, d), 5)
 
 
 def candidates_other_country(spark: SparkSession, d: str) -> DataFrame:
     """Records of a country without targets meet all targets."""
-    e = _norm(spark, d).withColumn("country", F.when(F.col("entity_id").startswith("S1-") & (F.col("country") == "France"), "Atlantis").otherwise(F.col("country")))
+    away = F.col("entity_id").startswith("S1-") & (F.col("country") == "France")
+    e = _norm(spark, d).withColumn("country", F.when(away, "Atlantis").otherwise(F.col("country")))
     return blocking.generate_candidate_pairs(*(fixture.source(e, k) for k in (1, 2, 3)), top_k=TOP_K)
 
 
 def candidate_pair_rows(spark: SparkSession, d: str) -> DataFrame:
-    return blocking.explode_pairs(_lists(spark, d), "candidate_entity_ids")
+    return blocking.explode_pairs(_lists(_norm(spark, d)), "candidate_entity_ids")
 
 
 def _truth(e: DataFrame) -> DataFrame:
@@ -104,15 +105,17 @@ def ground_truth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def blocking_recall(spark: SparkSession, d: str) -> DataFrame:
-    return blocking.evaluate_blocking_recall(_lists(spark, d), _truth(_norm(spark, d)))
+    e = _norm(spark, d)
+    return blocking.evaluate_blocking_recall(_lists(e), _truth(e))
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return blocking.explode_pairs(_lists(spark, d), "candidate_entity_ids").distinct()
+def _pairs(e: DataFrame) -> DataFrame:
+    return blocking.explode_pairs(_lists(e), "candidate_entity_ids").distinct()
 
 
 def pair_features(spark: SparkSession, d: str) -> DataFrame:
-    f = features.extract_features(_pairs(spark, d), _norm(spark, d))
+    e = _norm(spark, d)
+    f = features.extract_features(_pairs(e), e)
     return f.select("s1", "cand", *(F.round(c, 6).alias(c) for c in features.FEATURES))
 
 
@@ -122,7 +125,8 @@ def pair_features_sql(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_feature_map(spark: SparkSession, d: str) -> DataFrame:
-    return features.as_map(features.extract_features(_pairs(spark, d), _norm(spark, d))).select(
+    e = _norm(spark, d)
+    return features.as_map(features.extract_features(_pairs(e), e)).select(
         "s1", "cand", F.size("features").cast("long").alias("n"), F.col("features")["exact_zip_match"].cast("double").alias("zip")
     )
 
@@ -141,8 +145,9 @@ def alias_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 def label_pairs(spark: SparkSession, d: str) -> DataFrame:
-    t = tsv.truth_lists(_truth(_norm(spark, d))).select("s1", F.explode("ids").alias("cand"))
-    return training.label_pairs(_pairs(spark, d), t)
+    e = _norm(spark, d)
+    t = tsv.truth_lists(_truth(e)).select("s1", F.explode("ids").alias("cand"))
+    return training.label_pairs(_pairs(e), t)
 
 
 def negative_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -187,33 +192,91 @@ def macro_f05(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.macro_f05(s).select(F.round("macro_f05", 9).alias("macro_f05"))
 
 
-def _predicted(spark: SparkSession, d: str, lists: DataFrame | None = None) -> DataFrame:
-    """(s1, ids) by a fixed linear score of native features."""
-    pairs = blocking.explode_pairs(_lists(spark, d) if lists is None else lists, "candidate_entity_ids").distinct()
-    j = features.join_records(pairs, _norm(spark, d))
+def _predicted(e: DataFrame, lists: DataFrame) -> DataFrame:
+    """(s1, ids) by a fixed linear score of native features, which SQL can state as well."""
+    pairs = blocking.explode_pairs(lists, "candidate_entity_ids").distinct()
+    j = features.join_records(pairs, e)
     s = 0.6 * S.levenshtein_ratio(F.col("s1_name"), F.col("cand_name")) + 0.4 * S.levenshtein_ratio(F.col("s1_address"), F.col("cand_address"))
     return training.as_lists(j.withColumn("p", s).filter(F.col("p") >= 0.7).select("s1", "cand"))
 
 
 def predict_matches(spark: SparkSession, d: str) -> DataFrame:
-    return _predicted(spark, d).select("s1", F.array_join("ids", ",").alias("ids"))
+    e = _norm(spark, d)
+    return _predicted(e, _lists(e)).select("s1", F.array_join("ids", ",").alias("ids"))
 
 
 def matching_table(spark: SparkSession, d: str) -> DataFrame:
-    lists = _lists(spark, d)
-    return evaluation.assemble_matches(lists, _predicted(spark, d, lists))
+    e = _norm(spark, d)
+    lists = _lists(e)
+    return evaluation.assemble_matches(lists, _predicted(e, lists))
+
+
+def matching_table_legacy(spark: SparkSession, d: str) -> DataFrame:
+    """Without the rule on prefixes and own ids: lists that also hold the row's own id and one of source 1."""
+    e = _norm(spark, d)
+    own = F.concat_ws(",", "source1_entity_id", "candidate_entity_ids", F.lit("S1-0"))
+    lists = _lists(e).withColumn("candidate_entity_ids", own)
+    ids = F.filter(F.split("candidate_entity_ids", ","), lambda x: x != "")
+    return evaluation.assemble_matches(lists, lists.select(F.col("source1_entity_id").alias("s1"), ids.alias("ids")), check_ids=False)
 
 
 def matching_stats(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.match_stats(matching_table(spark, d))
 
 
-def evaluate_predictions(spark: SparkSession, d: str) -> DataFrame:
-    t = tsv.truth_lists(_truth(_norm(spark, d)))
-    out = evaluation.evaluate_predictions(_predicted(spark, d), t)
+def _scores(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    out = evaluation.evaluate_predictions(predicted, truth)
     return out.select(*(F.round(c, 9).alias(c) for c in ("macro_f05", "micro_precision", "micro_recall", "micro_f05")), "tp", "fp", "fn")
 
 
+def evaluate_predictions(spark: SparkSession, d: str) -> DataFrame:
+    e = _norm(spark, d)
+    return _scores(_predicted(e, _lists(e)), tsv.truth_lists(_truth(e)))
+
+
+def skipped_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs whose records are missing: of every seventh record only the candidate's side is known."""
+    e = _norm(spark, d)
+    return features.skipped_pairs(_pairs(e), e.filter("ord % 7 <> 0"))
+
+
+def _resolved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records, candidate lists and (s1, ids) by trees trained on the labelled pairs, at production settings."""
+    e = _norm(spark, d)
+    lists = _lists(e)
+    truth = tsv.truth_lists(_truth(e))
+    joined = features.join_records(blocking.explode_pairs(lists, "candidate_entity_ids").distinct(), e)
+    every = stage(features.with_features(joined), "features")  # features of a pair serve training and prediction
+    known = truth.select("s1", F.explode("ids").alias("cand"))
+    rows = training.sample_negatives(training.label_pairs(every, known))
+    trained = training.train_model(rows)
+    return e, lists, training.as_lists(training.predict_pairs(every, trained))
+
+
+def resolve(spark: SparkSession, d: str) -> DataFrame:
+    """Flagship: normalise, block, extract nine features, train the trees, predict all pairs and assemble."""
+    _, lists, got = _resolved(spark, d)
+    return evaluation.assemble_matches(lists, got)
+
+
+def resolve_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of the flagship's predictions against the truth."""
+    e, _, got = _resolved(spark, d)
+    return _scores(got, tsv.truth_lists(_truth(e)))
+
+
+def training_set(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled pairs with their features, as the trees are trained on."""
+    e = _norm(spark, d)
+    rows = resolution.build_training_set(_lists(e), e, tsv.truth_lists(_truth(e)))
+    return rows.select("s1", "cand", "label", *(F.round(c, 6).alias(c) for c in features.FEATURES))
+
+
+def training_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of the training set, their labels and what SQL can say of their features."""
+    return training_set(spark, d).select("s1", "cand", "label", "name_levenshtein_ratio", "exact_zip_match")
+
+
 def _faulty_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of a list file with every fault, from the documents' ids."""
     i = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("i"))
@@ -225,8 +288,9 @@ def _faulty_lines(spark: SparkSession, d: str) -> DataFrame:
         .when(n % 11 == 5, s("S1-", n, "\tS1-", n, ",S3-", n))
         .when(n % 11 == 6, s("S1-", n, "\tX", n))
         .when(n % 11 == 7, s("S1-", n - n % 2, "\tS2-", n))
-        .when(n % 11 == 8, s("S1-", n, "\t"))
-        .when(n % 11 == 9, F.lit(""))
+        .when(n % 11 == 8, s("S1-", n, "\t "))
+        .when(n % 11 == 9, F.when(n % 2 == 0, F.lit("")).otherwise(s("S1-", n, "\tS2-", n, "\tS3-", n)))
+        .when(n % 11 == 10, s("S1-", n, "\tS2-", n, ",,S3-", n))
         .otherwise(s("S1-", n, "\tS2-", n, ",S3-", n + 1))
     )
     return i.select((n + 2).alias("line"), value.alias("value"))
@@ -241,11 +305,10 @@ def validate_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def validate_subset(spark: SparkSession, d: str) -> DataFrame:
-    good = validation.parse_lines(_faulty_lines(spark, d)).filter("not malformed")
-    rows = good.groupBy("s1").agg(F.first("ids").alias("ids"), F.count("*").alias("k")).filter("k = 1")
+    rows = validation.last_lists(validation.parse_lines(_faulty_lines(spark, d)))
     cands = rows.select("s1", F.filter("ids", lambda x: x.startswith("S2-")).alias("ids"))
     f = validation.validate_subset(rows, cands)
-    return f.select("rule", "severity", F.col("n"))
+    return f.select("rule", "severity", "n", F.array_join("examples", ",").alias("examples"))
 
 
 def row_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -261,16 +324,11 @@ def synthetic_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def synthetic_training(spark: SparkSession, d: str) -> DataFrame:
-    """Cross-validated trees on the synthetic features; a few trees, as a smoke run."""
-    t = training.train_model(synthetic.feature_rows(spark, 600), n_folds=2, maxIter=3, maxDepth=3, stepSize=0.3)
+    """Cross-validated trees on the synthetic features, at the settings of a run without a model."""
+    t = resolution.train_synthetic(spark)
     return spark.createDataFrame([(t["threshold"], t["f05"], t["fold_mean"], t["fold_std"])], "threshold double, f05 double, fold_mean double, fold_std double")
 
 
-def resolve(spark: SparkSession, d: str) -> DataFrame:
-    """Flagship: normalise, block, score and assemble."""
-    return matching_table(spark, d)
-
-
 _RAW = fixture.RAW_SQL
 _NORM = f"WITH {_RAW}, {sqlgen.normalized()}"
 _CANDS = f"""{_NORM}, s1 AS (SELECT * FROM norm WHERE entity_id LIKE 'S1-%'),
@@ -305,22 +363,26 @@ _PRED = f"""{_JOINED}, pr AS (SELECT s1, list_sort(list(DISTINCT cand)) AS ids F
 _MATCH = """mt AS (SELECT source1_entity_id, array_to_string(coalesce(pr.ids, []::VARCHAR[]), ',') AS matched_entity_ids FROM lists LEFT JOIN pr ON s1 = source1_entity_id)"""
 _LINES = """lines AS (SELECT doc_id + 2 AS line, CASE doc_id % 11 WHEN 3 THEN 'S1-' || doc_id WHEN 4 THEN 'S1-' || doc_id || chr(9) || 'S2-' || doc_id || ',S2-' || doc_id
     WHEN 5 THEN 'S1-' || doc_id || chr(9) || 'S1-' || doc_id || ',S3-' || doc_id WHEN 6 THEN 'S1-' || doc_id || chr(9) || 'X' || doc_id
-    WHEN 7 THEN 'S1-' || (doc_id - doc_id % 2) || chr(9) || 'S2-' || doc_id WHEN 8 THEN 'S1-' || doc_id || chr(9) WHEN 9 THEN ''
+    WHEN 7 THEN 'S1-' || (doc_id - doc_id % 2) || chr(9) || 'S2-' || doc_id WHEN 8 THEN 'S1-' || doc_id || chr(9) || ' '
+    WHEN 9 THEN CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'S1-' || doc_id || chr(9) || 'S2-' || doc_id || chr(9) || 'S3-' || doc_id END
+    WHEN 10 THEN 'S1-' || doc_id || chr(9) || 'S2-' || doc_id || ',,S3-' || doc_id
     ELSE 'S1-' || doc_id || chr(9) || 'S2-' || doc_id || ',S3-' || (doc_id + 1) END AS value FROM documents),
-    ps AS (SELECT line, split_part(value, chr(9), 1) AS s1, list_filter(string_split(split_part(value, chr(9), 2), ','), lambda x: x <> '') AS ids,
-        NOT contains(value, chr(9)) AS malformed FROM lines WHERE value <> ''),
+    parts AS (SELECT line, value, strpos(value, chr(9)) AS tab FROM lines),
+    ps AS (SELECT line, CASE tab WHEN 0 THEN value ELSE left(value, tab - 1) END AS s1, tab = 0 AS malformed,
+        CASE WHEN tab = 0 OR trim(substr(value, tab + 1)) = '' THEN []::VARCHAR[] ELSE string_split(substr(value, tab + 1), ',') END AS ids
+        FROM parts WHERE tab > 0 OR trim(value) <> ''),
     good AS (SELECT * FROM ps WHERE NOT malformed)"""
-_FINDS = f"""WITH {_LINES}, ids AS (SELECT s1, unnest(ids) AS id FROM good), need AS (SELECT 'S1-' || doc_id AS s1 FROM documents WHERE doc_id % 10 <> 1),
+_FINDS = f"""WITH {_LINES}, ids AS (SELECT unnest(ids) AS id FROM good), need AS (SELECT 'S1-' || doc_id AS s1 FROM documents WHERE doc_id % 10 <> 1),
     valid AS (SELECT unnest(['S2-' || doc_id, 'S3-' || doc_id]) AS id FROM documents WHERE doc_id % 13 <> 2),
-    fs AS (SELECT DISTINCT 'malformed' AS rule, line::VARCHAR AS x FROM ps WHERE malformed
-        UNION SELECT 'duplicate_row', s1 FROM good GROUP BY s1 HAVING count(*) > 1
-        UNION SELECT 'duplicate_id', s1 FROM good WHERE len(ids) <> len(list_distinct(ids))
-        UNION SELECT 'self_match', s1 FROM ids WHERE id LIKE 'S1-%'
-        UNION SELECT 'bad_prefix', id FROM ids WHERE NOT regexp_matches(id, '^S[123]-')
-        UNION SELECT 'missing_row', s1 FROM need WHERE s1 NOT IN (SELECT s1 FROM good)
-        UNION SELECT 'unexpected_row', s1 FROM good WHERE s1 NOT IN (SELECT s1 FROM need)
-        UNION SELECT 'unknown_id', id FROM ids WHERE regexp_matches(id, '^S[23]-') AND id NOT IN (SELECT id FROM valid))
-    SELECT rule, 'error' AS severity, count(*) AS n, array_to_string(list(x ORDER BY x)[1:5], ',') AS examples FROM fs GROUP BY rule"""
+    fs AS (SELECT DISTINCT 'malformed' AS rule, line::VARCHAR AS x, line AS o FROM ps WHERE malformed
+        UNION SELECT 'duplicate_row', s1, 0 FROM good GROUP BY s1 HAVING count(*) > 1
+        UNION SELECT 'duplicate_id', s1, 0 FROM good WHERE len(ids) <> len(list_distinct(ids))
+        UNION SELECT 'self_match', id, 0 FROM ids WHERE id LIKE 'S1-%'
+        UNION SELECT 'bad_prefix', id, 0 FROM ids WHERE NOT (id LIKE 'S1-%' OR id LIKE 'S2-%' OR id LIKE 'S3-%')
+        UNION SELECT 'missing_row', s1, 0 FROM need WHERE s1 NOT IN (SELECT s1 FROM good)
+        UNION SELECT 'unexpected_row', s1, 0 FROM good WHERE s1 NOT IN (SELECT s1 FROM need)
+        UNION SELECT 'unknown_id', id, 0 FROM ids WHERE (id LIKE 'S2-%' OR id LIKE 'S3-%') AND id NOT IN (SELECT id FROM valid))
+    SELECT rule, 'error' AS severity, count(*) AS n, array_to_string(list(x ORDER BY o, x)[1:5], ',') AS examples FROM fs GROUP BY rule"""
 _TEMPLATES = ", ".join(f"({k}, {sqlgen.quoted(a)}, {sqlgen.quoted(b)}, {sqlgen.quoted(c)})" for k, (a, b, c) in enumerate(synthetic.TEMPLATES))
 
 ORACLES = {
@@ -359,7 +421,9 @@ ORACLES = {
         SELECT round(avg({_f('tp', 'fp', 'fn')}), 9) AS macro_f05 FROM e""",
     "predict_matches": f"{_CANDS}, {_PRED} SELECT s1, array_to_string(ids, ',') AS ids FROM pr",
     "matching_table": f"{_CANDS}, {_PRED}, {_MATCH} SELECT * FROM mt",
-    "resolve": f"{_CANDS}, {_PRED}, {_MATCH} SELECT * FROM mt",
+    "matching_table_legacy": f"{_CANDS} SELECT source1_entity_id, array_to_string(list_sort(list_distinct(list_concat([source1_entity_id, 'S1-0'], candidates))), ',') AS matched_entity_ids FROM cc",
+    "skipped_pairs": f"""{_CANDS} SELECT count(*) AS pairs, count(*) FILTER (a.ord % 7 = 0) AS no_s1, count(*) FILTER (a.ord % 7 <> 0 AND b.ord % 7 = 0) AS no_cand
+        FROM pairs p JOIN norm a ON a.entity_id = p.s1 JOIN norm b ON b.entity_id = p.cand""",
     "matching_stats": f"""{_CANDS}, {_PRED}, {_MATCH} SELECT count(*) AS n_rows, count(*) FILTER (matched_entity_ids <> '') AS with_match, count(*) FILTER (matched_entity_ids = '') AS singletons,
         sum(CASE WHEN matched_entity_ids = '' THEN 0 ELSE len(string_split(matched_entity_ids, ',')) END)::BIGINT AS pairs FROM mt""",
     "evaluate_predictions": f"""{_CANDS}, {_TRUTH}, {_PRED}, e AS (SELECT len(list_intersect(coalesce(pr.ids, []::VARCHAR[]), truth.ids)) AS tp, len(coalesce(pr.ids, []::VARCHAR[])) AS np, len(truth.ids) AS nt FROM truth LEFT JOIN pr USING (s1)),
@@ -367,8 +431,9 @@ ORACLES = {
         SELECT round(m, 9) AS macro_f05, round(CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END, 9) AS micro_precision,
             round(CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END, 9) AS micro_recall, round({_f('tp', 'fp', 'fn')}, 9) AS micro_f05, tp, fp, fn FROM s""",
     "validate_lists": _FINDS,
-    "validate_subset": f"""WITH {_LINES}, r AS (SELECT s1, any_value(ids) AS ids FROM good WHERE s1 NOT IN (SELECT s1 FROM good GROUP BY s1 HAVING count(*) > 1) GROUP BY s1)
-        SELECT 'not_candidate' AS rule, 'warning' AS severity, count(*) AS n FROM r WHERE len(list_filter(ids, lambda x: x NOT LIKE 'S2-%')) > 0""",
+    "validate_subset": f"""WITH {_LINES}, r AS (SELECT s1, arg_max(ids, line) AS ids FROM good GROUP BY s1),
+        x AS (SELECT s1 FROM r WHERE len(list_filter(ids, lambda x: x NOT LIKE 'S2-%')) > 0)
+        SELECT 'not_candidate' AS rule, 'warning' AS severity, count(*) AS n, array_to_string(list(s1 ORDER BY s1)[1:5], ',') AS examples FROM x""",
     "row_stats": f"WITH {_LINES} SELECT count(*) AS total, count(*) FILTER (len(ids) = 0) AS empty, count(*) FILTER (len(ids) > 0) AS non_empty FROM good",
     "synthetic_entities": f"""WITH t(k, name, address, zip) AS (VALUES {_TEMPLATES}), r AS (
         SELECT 'S1' AS src, 0 AS base, '#' AS word, (i - 1) % 10 AS k, i FROM range(1, 51) x(i) UNION ALL SELECT 'S2', 10000, 'store ', (i - 1) % 10, i FROM range(1, 51) x(i)
@@ -386,6 +451,9 @@ ORACLES["negative_sample"] = f"{_SAMPLED} SELECT * FROM sm"
 ORACLES["capped_training_pairs"] = f"""{_SAMPLED}, n AS (SELECT s1, count(*) AS n FROM sm GROUP BY s1), r AS (SELECT s1, n, sum(n) OVER (ORDER BY s1) AS run FROM n)
     SELECT sm.* FROM sm JOIN r USING (s1) WHERE run - n < 500"""
 
+ORACLES["training_labels"] = f"""{_SAMPLED.replace('lp AS (', f'{_JOINED}, lp AS (', 1)} SELECT sm.s1, sm.cand, label, round({_LEV('n1', 'n2')}, 6) AS name_levenshtein_ratio,
+    CASE WHEN z1 <> '' AND z1 = z2 THEN 1.0 ELSE 0.0 END::DOUBLE AS exact_zip_match FROM sm JOIN j USING (s1, cand)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -393,7 +461,8 @@ QUERIES = {
         soundex_codes, blocking_postings, candidate_pairs, candidate_pairs_top5, candidates_other_country, candidate_pair_rows,
         ground_truth, blocking_recall, pair_features, pair_features_sql, pair_feature_map, zip_fields, alias_fields, label_pairs,
         negative_sample, capped_training_pairs, threshold_sweep, best_threshold, top_thresholds, legacy_threshold, macro_threshold,
-        macro_f05, predict_matches, matching_table, matching_stats, evaluate_predictions, validate_lists, validate_subset, row_stats,
+        macro_f05, predict_matches, matching_table, matching_table_legacy, matching_stats, evaluate_predictions, skipped_pairs,
+        training_set, training_labels, resolve_scores, validate_lists, validate_subset, row_stats,
         synthetic_entities, synthetic_candidates, synthetic_training,
     )
 }

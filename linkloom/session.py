@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -16,8 +18,16 @@ BATCH = {
 }
 
 
+#: Marks a session whose batch sizes are set.
+MARK = "spark.linkloom.batches"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a SparkContext; no install is needed there."""
+    """Send this package to the executors, once a SparkContext, and set batch sizes, once a session."""
+    if spark.conf.get(MARK, None) is None:
+        for key, value in BATCH.items():
+            spark.conf.set(key, value)
+        spark.conf.set(MARK, "set")
     sc = spark.sparkContext
     if getattr(sc, "_linkloom_shipped", False):
         return
@@ -30,23 +40,36 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, n)
                     z.write(full, os.path.join("linkloom", os.path.relpath(full, top)))
     sc.addPyFile(path)
-    for key, value in BATCH.items():
-        spark.conf.set(key, value)
     sc._linkloom_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a local one is made and set.
+    Only where a session on one machine has none (tests), a local one is made, set and deleted
+    when Python ends; a cluster without the setting is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='linkloom-shared-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        own = tempfile.mkdtemp(prefix="linkloom-shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if it is read from fewer files than there are cores.
+
+    A file of one row group is one task's work whatever its size. Tables of many files, that is
+    all large ones, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
