@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding by tiktoken rank files.
 
 Pre-tokenisation is ``pretoken``'s scan; each different piece is merged once (pairs of least
-rank first) and remembered; token offsets are kept so that ids can be mapped back to bytes.
+rank first) and remembered. Where each token starts in the text is kept beside the ids, and
+decoding puts each token's bytes at its offset.
 """
 
 from __future__ import annotations
@@ -122,12 +123,45 @@ def encode(docs: DataFrame, path: str, offsets: bool = True) -> DataFrame:
     return map_batches(d, run, "doc_id long, ids binary, offsets binary")
 
 
+@cache
+def _token_table(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens' bytes one after another, and where each begins."""
+    size = _token_bytes(path)
+    return np.frombuffer(b"".join(vocabulary(path)), np.uint8), np.cumsum(size) - size
+
+
+def place_tokens(ids: np.ndarray, offsets: np.ndarray, path: str) -> bytes:
+    """The text whose tokens ``ids`` start at ``offsets``: each token's bytes go to their place.
+
+    Offsets need not begin at 0 or follow one another, so a part of a text decodes by itself.
+    """
+    if not len(ids):
+        return b""
+    flat, starts = _token_table(path)
+    n = _token_bytes(path)[ids]
+    at = offsets.astype(np.int64) - int(offsets.min())
+    nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    out = np.zeros(int((at + n).max()), np.uint8)
+    out[np.repeat(at, n) + nth] = flat[np.repeat(starts[ids], n) + nth]
+    return out.tobytes()
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, decoded): the bytes that the ids stand for."""
+    """(doc_id, ids, decoded): the bytes that the ids stand for, each token at its offset.
+
+    Null ids give null; a row without offsets has its tokens one after another; repeated rows
+    stay repeated; other columns are ignored; an empty table gives no rows.
+    """
+
+    def text(ids: bytes | None, offsets: bytes | None) -> bytes | None:
+        if ids is None:
+            return None
+        own = np.frombuffer(ids, "<u4").astype(np.int64)
+        n = _token_bytes(path)[own]
+        return place_tokens(own, np.cumsum(n) - n if offsets is None else np.frombuffer(offsets, "<u4"), path)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        token = vocabulary(path).__getitem__
-        out = [b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in b.column(1).to_pylist()]
+        out = [text(*x) for x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, ids binary, decoded binary")
+    return map_batches(encoded.select("doc_id", "ids", "offsets"), run, "doc_id long, ids binary, decoded binary")

@@ -1,13 +1,14 @@
 """Language-model scoring by subword lattices.
 
-A word's probability is the sum over all its segmentations into vocabulary pieces of the
-product of their probabilities, found by a forward recursion in log space. The vocabulary and
-its scores exist already; the scores, as a Zipf prior, weight the segmentations of every
-different training word once, and the expected piece counts, over the whole corpus, give the
-piece probabilities. Characters outside the vocabulary fall back to byte pieces. A word that
-the training texts hold has one more arc, over its whole length, with its discounted relative
-frequency; what the discount leaves weights all other segmentations. A text is its words and
-one end.
+A text is a sequence of vocabulary pieces and one end. Its probability is the sum over all
+segmentations of the product of the pieces' probabilities. No piece reaches over a word's
+start, so the sum is a product over words, each found by a forward recursion in log space.
+
+The vocabulary and its scores exist already. The scores, as Zipf's law has them (they are
+ranks), weight the segmentations of every different training word; the expected piece counts
+over the whole corpus are added to a prior that the scores make as well, and the sums weight
+the segmentations again, ``ROUNDS`` times in all. Characters outside the vocabulary fall back
+to byte pieces.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ CHUNK_TOKENS = 3_000_000
 WORDS = 20_000
 #: Weight of the prior in expected pieces; its ranks are flattened by this offset.
 PRIOR, FLAT = 3200.0, 10.0
+#: How often expected piece counts are taken.
+ROUNDS = 2
 NONE = -1e300
 
 
@@ -198,6 +201,25 @@ def _log(p: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(p, 1e-30))
 
 
+def expected_pieces(counted: DataFrame, path: str, logp: np.ndarray) -> np.ndarray:
+    """Expected counts of all pieces in the words of ``counted`` (word, c), weighted by ``logp``."""
+    sent = counted.sparkSession.sparkContext.broadcast(logp)  # of the vocabulary's size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = vocabulary(path)[0]
+        total = np.zeros(lattice.size)
+        for b in gathered(batches, WORDS):
+            total += lattice.expected(b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float64), sent.value)
+        ids = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["piece", "n"])
+
+    sums = counted.filter("c > 0").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+    out = np.zeros(len(logp))
+    for r in sums.collect():  # as many rows as the vocabulary at most
+        out[r["piece"]] = r["n"]
+    return out
+
+
 def _chunks(docs: DataFrame, rest: int) -> DataFrame:
     """One row for about CHUNK_TOKENS tokens: its different words, their counts in training
     documents, and each document's words as places in that list."""
@@ -248,55 +270,41 @@ def _chunks(docs: DataFrame, rest: int) -> DataFrame:
     return d.mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, path: str, rest: int = 1) -> DataFrame:
+def score(docs: DataFrame, path: str, rest: int = 1, rounds: int = ROUNDS) -> DataFrame:
     """Score every row of ``docs`` by a model of the rows that aren't held out.
 
-    (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score). Null texts are
+    Every different word of the corpus is counted, and every one of them is segmented to learn
+    the pieces' probabilities, so what is gathered grows with the corpus; what is sent to the
+    executors has the vocabulary's size. Returns (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score). Null texts are
     empty and consist of the end alone; rows with a null doc_id are training rows; repeated
     rows stay repeated; other columns are ignored; an empty table gives no rows.
     """
     chunks = stage(_chunks(docs, rest), "chunks")
     zipped = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x"))
     counted = stage(zipped.groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("c")), "words")
-    t = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
+    t = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     ends = chunks.select(F.sum(F.size(F.filter("held", lambda h: ~h))).alias("n")).first()["n"] or 0
     n_train, v_train = t["n"] + ends, t["v"] + (ends > 0)
 
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, prior = vocabulary(path)
-        logp, total = _log(prior), np.zeros(lattice.size)
-        for b in gathered(batches, WORDS):
-            total += lattice.expected(b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float64), logp)
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["piece", "n"])
-
-    sums = counted.filter("c > 0").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    lattice, prior = vocabulary(path)  # sums has as many rows as the vocabulary at most
-    weight = PRIOR * prior
-    for r in sums:
-        weight[r["piece"]] += r["n"]
-    weight[-1] = 0
-    sent = docs.sparkSession.sparkContext.broadcast(_log(weight / weight.sum()))  # of the vocabulary's size
-    discount = min(0.95, max(0.05, t["n1"] / max(1, t["n1"] + 2 * t["n2"])))
-    mass = max(discount * t["v"] / max(1, n_train), 1e-9)
+    lattice, prior = vocabulary(path)
+    logp = _log(prior)
+    for _ in range(rounds):
+        weight = PRIOR * prior + expected_pieces(counted, path, logp)
+        weight[-1] = max(ends, 0.5)  # the end is a piece that each text has once
+        logp = _log(weight / weight.sum())
+    sent = docs.sparkSession.sparkContext.broadcast(logp)  # of the vocabulary's size
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in gathered(batches, WORDS):
-            yield known_words(b)
-
-    def known_words(b: pa.RecordBatch) -> pa.RecordBatch:
-        pieces = vocabulary(path)[0].forward(b.column(0).to_pylist(), sent.value) + math.log(mass)
-        c = b.column(1).to_numpy()
-        whole = np.where(c > 0, np.log(np.maximum(c - discount, 1e-9) / max(1, n_train)), NONE)
-        lp = np.logaddexp(pieces, whole) / math.log(10)
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lp)], ["word", "c", "lp"])
+            lp = vocabulary(path)[0].forward(b.column(0).to_pylist(), sent.value) / math.log(10)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lp)], ["word", "c", "lp"])
 
     known = counted.mapInArrow(likelihood, "word string, c long, lp double")
     back = zipped.select("chunk", "place", F.col("x.words").alias("word")).join(known, "word").select(
         F.col("chunk").alias("of"), "place", "c", "lp"
     )
     unit = math.log10(n_train + 0.5 * (v_train + 1))
-    end_base, end_lp = math.log10(ends + 0.5) - unit, math.log10(max(ends, 0.5) / max(1, n_train))
+    end_base, end_lp = math.log10(ends + 0.5) - unit, float(logp[-1]) / math.log(10)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:

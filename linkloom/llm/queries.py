@@ -86,7 +86,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes decoded from them."""
     path = _tokenizer("byte_bpe_multi_50k.tiktoken")
-    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, offsets=False), path)
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
     return out.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -96,9 +96,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict on every page's url; labels of bad quality mark pages by their id."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
-    return urls.judge(table(spark, sf_dir, "pages"), labels, URL_RULES)
+    """Verdict on every page's url. Pages have no labels but what the rules say of them."""
+    return urls.judge(table(spark, sf_dir, "pages"), None, URL_RULES)
 
 
 QUERIES = {

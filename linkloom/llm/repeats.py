@@ -26,12 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.session import ship
 
-from .common import n_partitions, stage, unstage
+from .common import join_spread, n_partitions, stage, unstage
 from .suffix import common_prefixes, sort_suffixes, words_at
 
 WIDTH, GRAM = 50, 24
@@ -180,11 +180,11 @@ def _ask(chunks: DataFrame, groups: int) -> DataFrame:
                 g = (k % np.uint64(groups)).astype(np.int64)
                 order = np.argsort(g, kind="stable")
                 g, k, many = g[order], k[order], many[order]
-                cuts = np.searchsorted(g, np.arange(groups + 1)).tolist()
+                own, first = np.unique(g, return_index=True)  # only the groups that occur
+                cuts = [*first.tolist(), len(g)]
                 rows = [
                     (x, chunk, (k[u:v] >> np.uint64(32)).astype("<u4").tobytes(), np.packbits(many[u:v]).tobytes())
-                    for x, (u, v) in enumerate(zip(cuts, cuts[1:]))
-                    if v > u
+                    for x, u, v in zip(own.tolist(), cuts, cuts[1:])
                 ]
                 if rows:
                     yield from _rows("group chunk keys many", [pa.int64(), pa.int64(), pa.binary(), pa.binary()], rows).to_batches()
@@ -231,10 +231,11 @@ def _segments(chunk: int, leads: np.ndarray, lens: np.ndarray, data: np.ndarray,
     k, _ = _keys(keys, doc)
     g = (k % np.uint64(groups)).astype(np.int64)
     order = np.argsort(g, kind="stable")
-    cuts = np.searchsorted(g[order], np.arange(groups + 1))
+    asked = np.fromiter(bits, np.int64, len(bits))
+    low, high = (np.searchsorted(g[order], asked, side).tolist() for side in ("left", "right"))
     shared, common = np.zeros(len(k), bool), np.zeros(len(k), bool)
-    for x, (a, b) in bits.items():
-        own = order[cuts[x] : cuts[x + 1]]
+    for (a, b), u, v in zip(bits.values(), low, high):
+        own = order[u:v]
         shared[own] = np.unpackbits(np.frombuffer(a, np.uint8), count=len(own))
         common[own] = np.unpackbits(np.frombuffer(b, np.uint8), count=len(own))
     at = np.searchsorted(k, keys)
@@ -354,8 +355,8 @@ def _judge(sent: DataFrame) -> DataFrame:
     return sent.groupBy("group").applyInArrow(run, "chunk long, runs binary")
 
 
-def _cut(chunks: DataFrame, runs: DataFrame) -> DataFrame:
-    """(sha, lead, n_removed, n_spans, kept, left) of every text that loses bytes."""
+def _cut(chunks: DataFrame, runs: DataFrame, texts: bool) -> DataFrame:
+    """(sha, lead, n_removed, n_spans, kept, left) of every text that loses bytes; left is null without ``texts``."""
     kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -374,7 +375,7 @@ def _cut(chunks: DataFrame, runs: DataFrame) -> DataFrame:
                     u = int(starts[d])
                     text = c["blob"][u : u + int(lens[d])]
                     kept = b"".join(text[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(text)]))
-                    rows.append((c["shas"][32 * d : 32 * d + 32], int(leads[d]), int((b - a).sum()), len(a), hashlib.sha256(kept).digest(), kept.decode("utf-8", "ignore").encode()))
+                    rows.append((c["shas"][32 * d : 32 * d + 32], int(leads[d]), int((b - a).sum()), len(a), hashlib.sha256(kept).digest(), kept.decode("utf-8", "ignore").encode() if texts else None))
         return _rows("sha lead n_removed n_spans kept left", kinds, rows)
 
     return (
@@ -384,25 +385,36 @@ def _cut(chunks: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def _prepared(docs: DataFrame) -> DataFrame:
+def _prepared(docs: DataFrame, *more: Column) -> DataFrame:
+    """(key, text, sha, more): only these, so no name of ``docs`` can clash."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
-    return docs.withColumn("_text", text).withColumn("_key", key).withColumn("_sha", F.unhex(F.sha2(text, 256)))
+    return docs.select(key.alias("key"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("sha"), *more)
 
 
-def cut_texts(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def cut_texts(docs: DataFrame, hot: int = HOT, texts: bool = True) -> DataFrame:
     """(sha, lead, n_removed, n_spans, kept, left) of each different text that loses bytes in
     its first document; ``kept`` is the digest of the remaining bytes, ``left`` those of them
-    that form whole characters."""
+    that form whole characters, if ``texts`` are wanted."""
     spark = docs.sparkSession
-    reps = _prepared(docs).groupBy("_sha").agg(F.min("_key").alias("lead"), F.first("_text").alias("text"))
-    chunks = stage(_pack(reps.select("lead", "_sha", "text")), "chunks")
+    reps = _prepared(docs).groupBy("sha").agg(F.min("key").alias("lead"), F.first("text").alias("text"))
+    chunks = stage(_pack(reps.select("lead", "sha", "text")), "chunks")
     total = chunks.select(F.coalesce(F.sum(F.length("blob")), F.lit(0)).alias("n")).first()["n"]
     groups = max(n_partitions(spark), total // GROUP_BYTES)
     answers = stage(_answer(_ask(chunks, groups), hot), "anchors")
     runs = stage(_judge(_send(chunks, answers, groups)), "runs")
     unstage(answers)
-    return _cut(chunks, runs)
+    out = stage(_cut(chunks, runs, texts), "cut")
+    for done in (chunks, runs):
+        unstage(done)
+    return out
+
+
+def _named(rows: DataFrame, cut: DataFrame, values: list[str], total: int) -> DataFrame:
+    """``rows`` (key, sha, ...) with the first key of their text and ``values`` of ``cut``."""
+    lead = rows.groupBy("sha").agg(F.min("key").alias("first"), F.count("*").alias("n"))
+    known = lead.join(cut.select("sha", *values), "sha", "left")
+    return join_spread(rows, known, ["sha"], ["first", *values], total, ["key"])
 
 
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -412,17 +424,15 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     doc_id don't remove each other's bytes; repeated rows stay repeated. Texts below 50 bytes
     stay whole. Other columns are ignored. An empty table gives no rows.
     """
-    d = _prepared(docs).select("doc_id", "_key", "_sha", F.octet_length("_text").cast("long").alias("n_bytes"))
-    lead = d.groupBy("_sha").agg(F.min("_key").alias("first")).withColumnRenamed("_sha", "s1")
-    cut = cut_texts(docs, hot).drop("left", "lead").withColumnRenamed("sha", "s2")
-    j = d.join(lead.join(cut, F.col("s1") == F.col("s2"), "left"), F.col("_sha") == F.col("s1"), "left")
-    copy = (F.col("_key") > F.col("first")) & (F.col("n_bytes") >= WIDTH)
+    rows = stage(_prepared(docs, "doc_id").select("doc_id", "key", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "shas")
+    j = _named(rows, cut_texts(docs, hot, False), ["n_removed", "n_spans", "kept"], rows.count())
+    copy = (F.col("key") > F.col("first")) & (F.col("n_bytes") >= WIDTH)
     return j.select(
         "doc_id",
         "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.lower(F.hex(F.when(copy, F.lit(NOTHING)).otherwise(F.coalesce("kept", "_sha")))).alias("kept_sha256"),
+        F.lower(F.hex(F.when(copy, F.lit(NOTHING)).otherwise(F.coalesce("kept", "sha")))).alias("kept_sha256"),
     )
 
 
@@ -430,16 +440,18 @@ def dedupe(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated strings cut out of the texts, and n_chars brought up to date.
 
     Cuts go by bytes; what is left of a character that is cut in two goes as well. A later
-    copy of a whole text keeps its row, with an empty text.
+    copy of a whole text keeps its row, with an empty text. Null texts stay null; a null doc_id
+    counts as smaller than all others; repeated rows stay repeated; columns of any other name
+    come back as they were; an empty table gives no rows.
     """
-    d = _prepared(docs)
-    lead = d.groupBy("_sha").agg(F.min("_key").alias("_first")).withColumnRenamed("_sha", "_s1")
-    cut = cut_texts(docs).select(F.col("sha").alias("_s2"), F.col("left").cast("string").alias("_left"))
-    j = d.join(lead.join(cut, F.col("_s1") == F.col("_s2"), "left"), F.col("_sha") == F.col("_s1"), "left")
-    copy = (F.col("_key") > F.col("_first")) & (F.octet_length("_text") >= WIDTH)
-    text = F.when(copy, F.lit("")).otherwise(F.coalesce("_left", "text"))
-    out = j.withColumn("text", text)
+    cut = cut_texts(docs)
+    rows = _prepared(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    j = _named(rows.select("key", "sha", "row"), cut, ["left"], docs.count())
+    own = F.col("row")["text"]
+    copy = (F.col("key") > F.col("first")) & (F.octet_length(own) >= WIDTH)
+    text = F.when(copy, F.lit("")).otherwise(F.coalesce(F.col("left").cast("string"), own.cast("string")))
+    j = j.select("row", text.cast(docs.schema["text"].dataType).alias("text"))
+    back = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(kind))
-    return out.select(*docs.columns)
+        back["n_chars"] = F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+    return j.select(*(back.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, ship, stage, text_bytes, unstage
+from .common import join_spread, map_batches, ship, stage, text_bytes, unstage
 from .components import connected_components
 
 RADIUS, BLOCK, CHECKS = 3, 23, 11
@@ -148,7 +148,7 @@ def groups(docs: DataFrame, threshold: int = 2, width: int = 3) -> DataFrame:
     table gives an empty result.
     """
     fps = stage(fingerprints(docs, width), "fp")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("root"))
+    nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("root"), F.count("*").alias("n")), "nodes")
     found = stage(links(nodes, threshold), "links")
     ends = (
         found.join(nodes.select(F.col("fp").alias("a"), F.col("root").alias("ra")), "a")
@@ -156,10 +156,9 @@ def groups(docs: DataFrame, threshold: int = 2, width: int = 3) -> DataFrame:
         .select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     )
     comp = connected_components(ends)
-    named = nodes.join(comp, nodes.root == comp.node, "left").select(
-        F.col("fp").alias("fp_"), F.coalesce("component", "root").alias("component_id")
-    )
-    return fps.join(named, fps.fp == named.fp_, "left").select("doc_id", "fp", "component_id")
+    unstage(found)
+    named = nodes.join(comp, nodes.root == comp.node, "left").select("fp", "n", F.coalesce("component", "root").alias("component_id"))
+    return join_spread(fps, named, ["fp"], ["component_id"], fps.count(), ["doc_id"])
 
 
 def mixed(x: np.ndarray, salt: int) -> np.ndarray:

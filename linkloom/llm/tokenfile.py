@@ -234,7 +234,11 @@ def write_files(docs: DataFrame, path: str) -> DataFrame:
 
 
 def read_files(files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in ``files``, decoded."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document in ``files``, decoded.
+
+    Documents with a null doc_id keep it; repeated rows stay repeated, each with its own ids;
+    no files give no rows.
+    """
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # one row for each part, of which there are as many as shuffle partitions
     before = files.groupBy("part").agg(F.sum("n").alias("all")).select("part", F.coalesce(F.sum("all").over(w), F.lit(0)).alias("before"))
