@@ -243,16 +243,25 @@ def test_near_duplicates_judged_by_whole_sets(spark):
     assert {x["doc_id"] for x in simhash.keep(docs(spark, rows)).collect()} == want and 80 < len(want) < 100
 
 
-def test_likeness_of_sketches():
+def test_sketches_pass_all_alike_sets():
     r = np.random.default_rng(3)
-    for size in (40, 200, 4000):
-        a = r.integers(0, 1 << 60, size, dtype=np.uint64)
-        b = a.copy()
-        b[:: size // 20] = r.integers(0, 1 << 60, len(b[:: size // 20]), dtype=np.uint64)
-        x, y = ({tuple(w[i : i + 5].tolist()) for i in range(size - 4)} for w in (a, b))
-        want = len(x & y) / len(x | y)
-        got = simhash.likeness(simhash.sketch(a, 5), simhash.sketch(b, 5))
-        assert abs(got - want) < (1e-9 if len(x | y) < simhash.SKETCH else 0.1)
+    for size in (1, 5, 40, 64, 65, 70, 200, 4000):
+        a, b, far = [], [], []
+        for _ in range(400):
+            k = max(1, int(size * 0.1))
+            x = np.unique(r.integers(0, 1 << 63, size, dtype=np.uint64))
+            y = np.unique(np.concatenate([x[r.permutation(len(x))[: len(x) - k]], r.integers(0, 1 << 63, max(0, k - 1), dtype=np.uint64)]))
+            if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)):
+                a.append(simhash.sketch(x).tobytes())
+                b.append(simhash.sketch(y).tobytes())
+            far.append(simhash.sketch(np.unique(np.concatenate([x[::20], r.integers(0, 1 << 63, size, dtype=np.uint64)]))).tobytes())
+        if a:
+            got = simhash.shared(a, b)
+            assert (got >= simhash.SHARED).all() and got.mean() > 0.7
+            want = [len(set(np.frombuffer(p, "u4")) & set(np.frombuffer(q, "u4"))) / max(len(p) // 4, len(q) // 4) for p, q in zip(a, b)]
+            assert got == pytest.approx(want)
+            if size >= 40:
+                assert (simhash.shared(a, far[: len(a)]) < simhash.SHARED).mean() > 0.99
 
 
 def test_minhash(spark):
