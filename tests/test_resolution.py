@@ -26,6 +26,25 @@ def test_sanitize(spark):
     ]
 
 
+def test_every_rewrite_by_hand(spark):
+    """Written out, not taken from the tables that the operators and their SQL share."""
+    names = {
+        "x pvt ltd": "x private limited", "x pvtltd": "x private limited", "x pty ltd": "x proprietary limited", "x ltd": "x limited",
+        "x inc": "x incorporated", "x corp": "x corporation", "x llc": "x limited liability company", "x llp": "x limited liability partnership",
+        "x plc": "x public limited company", "x co": "x company", "x enterprises": "x enterprise", "x enterprise": "x enterprise",
+        "x services": "x service", "x service": "x service", "m s x": "x", "ms x": "x", "dr x": "x", "mr x": "x", "mrs x": "x", "shree x": "x",
+        "shri x": "x", "prof x": "x", "x dr": "x dr", "corpus cost": "corpus cost", "the x x y": "the x y",
+    }
+    assert column(spark, N.clean_name, list(names)) == list(names.values())
+    addresses = {
+        "1 a rd": "1 a road", "1 a st": "1 a street", "1 a ave": "1 a avenue", "1 a blvd": "1 a boulevard", "1 a dr": "1 a drive", "1 a ln": "1 a lane",
+        "1 a ct": "1 a court", "1 a pkwy": "1 a parkway", "1 a hwy": "1 a highway", "apt 4": "apartment 4", "ste 4": "suite 4", "fl 4": "floor 4",
+        "flr 4": "floor 4", "bldg 4": "building 4", "hn 4": "house 4", "house no 4": "house 4", "houseno 4": "house 4", "flat no 4": "flat 4",
+        "plot no 4": "plot 4", "opp park": "opposite park", "no 4": "number 4", "stand 4": "stand 4", "007 a": "7 a", "a 0": "a 0",
+    }
+    assert column(spark, N.clean_address, list(addresses)) == list(addresses.values())
+
+
 def test_names_and_addresses(spark):
     assert column(spark, N.clean_name, ["M/s Shree Foods Pvt. Ltd.", "Dr", "Acme Acme Inc", None]) == [
         "shree foods private limited", "dr", "acme incorporated", "",
