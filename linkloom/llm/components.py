@@ -15,6 +15,8 @@ from .common import gathered, join_spread, stage, unstage
 
 #: Links that are joined to a local forest at once.
 LINKS = 1 << 20
+#: Links that are worth a task and a file of their own in a round; fewer tasks write them, never more.
+ROWS = 1 << 11
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,9 +71,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     """(node, component): the smallest node that each linked node reaches.
 
     Each partition's links shrink to a forest; then large-star and small-star steps in turn until the edges stay the same; every round is
-    written to the shared folder. A group costs joins with one row for each of its nodes, and
-    the rows of a node with many links are dealt to many tasks. Nodes without links don't
-    appear. Null ends and loops are ignored.
+    written to the shared folder, in files in proportion to its links. A group costs joins with one
+    row for each of its nodes, and the rows of a node with many links are dealt to many tasks. Nodes
+    without links don't appear. Null ends and loops are ignored. The result reads a staged table,
+    which ``unstage`` of the result deletes.
     """
     own = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b").distinct()
     edges = stage(_forests(own).distinct(), "cc")
@@ -81,8 +84,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if not was["n"]:
             break
-        large = stage(_large_star(edges, was["n"]).distinct(), "cc")
-        new = stage(_small_star(large, was["n"]).distinct(), "cc")
+        files = -(-was["n"] // ROWS)
+        large = stage(_large_star(edges, was["n"]).distinct().coalesce(files), "cc")
+        new = stage(_small_star(large, was["n"]).distinct().coalesce(files), "cc")
         for done in (large, edges):
             unstage(done)
         edges, now = new, new.agg(*digest).first()
@@ -91,4 +95,6 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         was = now
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out._linkloom_path = edges._linkloom_path
+    return out

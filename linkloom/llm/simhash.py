@@ -370,8 +370,8 @@ def cross_pairs(members: DataFrame, comp: DataFrame, least: float) -> DataFrame:
     )
     fits = _fits(c("x.n"), c("x.at"), c("y.n"), c("y.at"), least)
     on = (c("x.tok") == c("y.tok")) & (c("x.salt") == c("y.salt")) & (c("x.comp") != c("y.comp")) & once & first & fits
-    pairs = stage(x.join(y, on).select(*_ordered(c("x.root"), c("y.root"))).distinct(), "pairs")
-    unstage(named)
+    pairs = x.join(y, on).select(*_ordered(c("x.root"), c("y.root"))).distinct()
+    pairs._linkloom_path = named._linkloom_path  # unstaging the pairs deletes what they are read from
     return pairs
 
 
@@ -382,9 +382,9 @@ def alike(nodes: DataFrame, docs: DataFrame, known: DataFrame, least: float, shi
     use = F.max(_indexed(F.col("n"), F.col("at"), least)).alias("use")
     shared = toks.groupBy("tok").agg(F.min("root").alias("low"), F.max("root").alias("high"), use).filter("use and low < high")
     members = stage(toks.join(shared.select("tok"), "tok"), "members")
-    pairs = plausible(stage(star_pairs(members, least), "pairs"), nodes)
+    pairs = plausible(star_pairs(members, least), nodes)
     near = judged(pairs, docs, least, shingle)
-    comp = stage(connected_components(known.union(near)), "comp")
+    comp = connected_components(known.union(near))
     left = plausible(cross_pairs(members, comp, least), nodes)
     more = judged(left, docs, least, shingle)
     for done in (members, pairs, near, left):
@@ -412,10 +412,10 @@ def keep(docs: DataFrame, threshold: int = 2, width: int = 3, least: float = 0.8
     at = lambda k: prints.select(F.col("fp").alias(k), F.col("low").alias(f"r{k}"))
     close = links(prints, threshold).join(at("a"), "a").join(at("b"), "b").select("ra", "rb")
     same = nodes.join(prints.filter("n > 1").select("fp", "low"), "fp").select("root", "low")
-    known = stage(close.union(same).toDF("a", "b"), "known")
-    gone = alike(nodes, real, known, least, shingle).filter("node <> component").select(F.col("node").alias("root"))
+    comp = alike(nodes, real, close.union(same).toDF("a", "b"), least, shingle)
+    gone = comp.filter("node <> component").select(F.col("node").alias("root"))
     first = stage(nodes.select("root").join(gone, "root", "left_anti").select(F.col("root").alias("doc_id")).distinct(), "first")
-    for done in (nodes, prints, known):
+    for done in (nodes, prints, comp):
         unstage(done)
     named = real.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
