@@ -1,4 +1,7 @@
-"""Connected components of a link table: local forests first, then alternating star contraction."""
+"""Connected components of a link table: local forests first, then alternating star contraction.
+
+Links that are few enough after the first forests are one more forest, and need no rounds.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +20,8 @@ from .common import gathered, join_spread, stage, unstage
 LINKS = 1 << 20
 #: Links that are worth a task and a file of their own in a round; fewer tasks write them, never more.
 ROWS = 1 << 11
+#: Links that one task joins to the last forest: 4 MB of ids. More go through rounds.
+TOGETHER = 1 << 18
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,10 +72,11 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
     return leaves.union(low.select("a", F.col("m").alias("b")))
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, together: int = TOGETHER) -> DataFrame:
     """(node, component): the smallest node that each linked node reaches.
 
-    Each partition's links shrink to a forest; then large-star and small-star steps in turn until the edges stay the same; every round is
+    Each partition's links shrink to a forest. If at most ``together`` links are left, one task joins
+    them to the forest of all; else large-star and small-star steps in turn until the edges stay the same; every round is
     written to the shared folder, in files in proportion to its links. A group costs joins with one
     row for each of its nodes, and the rows of a node with many links are dealt to many tasks. Nodes
     without links don't appear. Null ends and loops are ignored. The result reads a staged table,
@@ -84,6 +90,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if not was["n"]:
             break
+        if was["n"] <= min(together, LINKS):  # the forest of all links is the result
+            whole = stage(_forests(edges.coalesce(1)), "cc")
+            unstage(edges)
+            edges = whole
+            break
         files = -(-was["n"] // ROWS)
         large = stage(_large_star(edges, was["n"]).distinct().coalesce(files), "cc")
         new = stage(_small_star(large, was["n"]).distinct().coalesce(files), "cc")

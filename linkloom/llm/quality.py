@@ -22,6 +22,8 @@ from .common import map_batches, text_bytes
 SAMPLE = 1500
 PAIRS, EXTRA, DIMS, K, POWER, BLOCK = 2048, 4, 48, 15, 4, 512
 THRESHOLD = 0.3
+#: Columns of a Krylov block beyond the directions asked for, and blocks.
+EXCESS, STEPS = 16, 10
 
 
 def _slots() -> np.ndarray:
@@ -48,6 +50,46 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def _to_unit(x: np.ndarray) -> None:
+    """``_unit`` in place."""
+    for at in range(0, len(x), BLOCK):
+        x[at : at + BLOCK] = _unit(x[at : at + BLOCK])
+
+
+def leading(x: np.ndarray, dims: int) -> np.ndarray:
+    """The ``dims`` leading eigenvectors of ``x.T @ x``, by Rayleigh-Ritz on a block Krylov space.
+
+    ``eigh`` of the whole matrix holds six copies of it, in double precision, in the driver.
+    """
+    n = x.shape[1]
+    q = np.random.default_rng(0).standard_normal((n, min(n, dims + EXCESS)))
+    blocks = []
+    for _ in range(STEPS):
+        q = np.linalg.qr(q)[0]
+        blocks.append(q)
+        q = x.T @ (x @ q.astype(np.float32))
+    basis = np.linalg.qr(np.concatenate(blocks, axis=1))[0].astype(np.float32)
+    y = x @ basis
+    _, u = np.linalg.eigh(y.T @ y)
+    return np.ascontiguousarray(basis @ u[:, ::-1][:, :dims])
+
+
+def _model(packed: list[bytes], y: np.ndarray, counts: dict[int, int]) -> dict:
+    """The model of features packed as float16. The driver holds one matrix of them, changed in place."""
+    x = np.empty((len(packed), PAIRS + EXTRA), np.float32)
+    for i, f in enumerate(packed):
+        x[i] = np.frombuffer(f, np.float16)
+    _to_unit(x)
+    idf = np.log1p(1 / ((x > 0).mean(0) + 0.01)).astype(np.float32)
+    x *= idf
+    _to_unit(x)
+    mean = x.mean(0)
+    x -= mean
+    axes = leading(x, DIMS)
+    weight = np.array([counts[k] / max(1, (y == k).sum()) for k in y], np.float32)
+    return {"idf": idf, "mean": mean, "axes": axes, "z": _unit(x @ axes), "y": y.astype(np.float32), "w": weight / weight.max()}
+
+
 def held_out(doc_id: str = "doc_id", rest: int = 0):
     """crc32 of the id as text, modulo 5, is ``rest``; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == rest, F.lit(False))
@@ -80,15 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict:
     got = sorted(one.collect())  # at most 2 * SAMPLE rows
     if not got:
         return {"z": np.zeros((0, DIMS), np.float32)}
-    x = _unit(np.array([np.frombuffer(r["f"], np.float16) for r in got], np.float32))
-    y = np.array([r["y"] for r in got])
-    idf = np.log1p(1 / ((x > 0).mean(0) + 0.01)).astype(np.float32)
-    x = _unit(x * idf)
-    mean = x.mean(0)
-    _, v = np.linalg.eigh((x - mean).T @ (x - mean))
-    axes = np.ascontiguousarray(v[:, ::-1][:, :DIMS].astype(np.float32))
-    weight = np.array([counts[k] / max(1, (y == k).sum()) for k in y], np.float32)
-    return {"idf": idf, "mean": mean, "axes": axes, "z": _unit((x - mean) @ axes), "y": y.astype(np.float32), "w": weight / weight.max()}
+    return _model([r["f"] for r in got], np.array([r["y"] for r in got]), counts)
 
 
 def vote(model: dict, texts: list[bytes]) -> np.ndarray:

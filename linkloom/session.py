@@ -73,11 +73,13 @@ def spread(df: DataFrame) -> DataFrame:
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    This cuts lineage: what follows survives lost executors by re-reading the files.
+    This cuts lineage: what follows survives lost executors by re-reading the files. The folder gets
+    no _SUCCESS marker: nobody looks for it, and on a local file system the driver starts helper
+    processes for each file it makes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._linkloom_path = path
     return out

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -11,8 +12,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, chat, decontaminate, lattice, minhash, pretoken, quality, repeats, simhash, suffix, tokenfile, urls
-from linkloom.llm.common import join_spread
+from linkloom.llm import bpe, chat, components, decontaminate, lattice, minhash, pretoken, quality, repeats, simhash, suffix, tokenfile, urls
+from linkloom.llm.common import join_spread, stage
 from linkloom.llm.components import connected_components, forest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -141,6 +142,24 @@ def test_components_of_hubs_and_chance_links(spark, monkeypatch):
     assert dict(zip(x.tolist(), y.tolist())) == want
 
 
+def test_few_links_need_no_rounds(spark, monkeypatch):
+    rng = random.Random(12)
+    edges = [(a := rng.randrange(900), min(899, a + rng.choice([0, 1, 7]))) for _ in range(500)] + [(5, n) for n in range(1000, 1300)]
+    want = dict(zip(*(x.tolist() for x in forest(*(np.array(c) for c in zip(*edges))))))
+    links = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    by_rounds = connected_components(links, together=0).collect()
+    assert dict(map(tuple, by_rounds)) == want and len(by_rounds) == len(want)
+    monkeypatch.setattr(components, "_large_star", None)  # a round would fail
+    got = connected_components(links).collect()
+    assert dict(map(tuple, got)) == want and len(got) == len(want)
+
+
+def test_staged_tables_have_no_marker(spark):
+    staged = stage(spark.range(10), "marker")
+    assert not [f for f in os.listdir(staged._linkloom_path.removeprefix("file://")) if "SUCCESS" in f]
+    assert staged.count() == 10
+
+
 def test_join_of_hot_keys(spark):
     rows = [(None if i % 3 == 0 else i % 7 if i % 3 == 1 else 100 + i, i) for i in range(6000)]
     big = spark.createDataFrame(rows, "k long, x long")
@@ -434,6 +453,22 @@ def test_votes_against_single_cosines(spark):
         assert got[i]["score"] == pytest.approx(want, abs=1e-4) and got[i]["predicted"] == int(got[i]["score"] >= 0.3)
 
 
+def test_leading_directions(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = (rng.standard_normal((900, 300)) * 0.97 ** np.arange(300)).astype(np.float32)
+    x = np.concatenate([x, np.zeros((900, quality.PAIRS + quality.EXTRA - 300), np.float32)], axis=1)
+    want = np.linalg.eigh(x.T.astype(float) @ x)[1][:, ::-1][:, : quality.DIMS]
+    sizes, whole = [], np.linalg.eigh
+    monkeypatch.setattr(np.linalg, "eigh", lambda a: sizes.append(len(a)) or whole(a))
+    packed = [r.tobytes() for r in np.abs(x).astype(np.float16)]
+    model = quality._model(packed, np.arange(900) % 2, {0: 5, 1: 9})
+    assert max(sizes) < 1000  # no decomposition of the whole matrix in the driver
+    assert model["z"].shape == (900, quality.DIMS) and np.isfinite(model["z"]).all()
+    got = quality.leading(x, quality.DIMS)
+    assert np.linalg.svd(got.T @ want)[1].min() > 0.9999  # the same space
+    assert np.isfinite(quality.leading(np.zeros((1, 300), np.float32), 4)).all()
+
+
 def test_quality_sample_with_repeated_ids(spark):
     rows = [(7, f"text {k} of one id") for k in range(300)] + list(enumerate(prose(30, 2), 100))
     d = docs(spark, rows)
